@@ -1,0 +1,196 @@
+"""Queries over notes, passages and searches as texts, and the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import field, first_chars, stem
+from ..operators import checks, chunking, lexical, links, secrets
+from ..operators.ranking import excerpt
+from ..sources.tables import table
+from .common import N_SQL, T_SQL, plain, query_texts
+
+
+def _notes(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "notes")
+
+
+def prj01_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """How many blocks each body has, and the octets in them."""
+    once = _notes(spark, folder).where("path is not null").groupBy("path").agg(F.max("body").alias("body"))
+    b = once.select("path", chunking.blocks(F.col("body")).alias("b"))
+    return plain(b.select("path", F.size("b").alias("blocks"), F.coalesce(F.aggregate("b", F.lit(0), lambda s, x: s + F.octet_length(x["text"])), F.lit(0)).alias("octets")))
+
+
+def prj03_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The passages of every body, against the project's own table of them."""
+    return plain(chunking.split_bodies(_notes(spark, folder)).select("path", "ordinal", F.md5("text").alias("text_md5")))
+
+
+def prj05_chunk_context(spark: SparkSession, folder: str) -> DataFrame:
+    heads = _notes(spark, folder).where("path is not null").groupBy("path").agg(F.max(F.struct(field("name").alias("n"), field("description").alias("d"))).alias("h"))
+    rows = table(spark, folder, "chunks").select("path", "ordinal", "text").distinct().join(heads, "path")
+    return plain(rows.select("path", "ordinal", F.md5(chunking.with_context(F.col("h.n"), F.col("h.d"), F.col("text"))).alias("context_md5")))
+
+
+def prj07_split_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys made of the vectors' parts, taken apart again."""
+    key = F.concat("path", F.lit("#"), F.col("ordinal").cast("string"), F.when(F.col("question_no").isNotNull(), F.concat(F.lit("?"), F.col("question_no").cast("string"))).otherwise(F.lit("")))
+    rows = table(spark, folder, "vectors").where("path is not null and ordinal is not null").select("vec_id", chunking.split_key(key).alias("k")).distinct()
+    return plain(rows.select("vec_id", "k.path", "k.ordinal", "k.is_question"))
+
+
+def prj08_excerpt(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(table(spark, folder, "chunks").where("path is not null").select("path", "ordinal", excerpt(F.col("text")).alias("excerpt")).distinct())
+
+
+def prj09_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """Display name and date of every note."""
+    rows = _notes(spark, folder).where("path is not null").select("path", F.coalesce(field("name"), stem(F.col("path"))).alias("name"), F.coalesce(field("verified"), F.date_format("modified_at", "yyyy-MM-dd")).alias("date"))
+    return rows.distinct()
+
+
+def prj14_links(spark: SparkSession, folder: str) -> DataFrame:
+    return links.edges(_notes(spark, folder))
+
+
+def prj15_identifiers(spark: SparkSession, folder: str) -> DataFrame:
+    asked = query_texts(spark, folder)
+    return asked.select("qid", F.explode(lexical.identifiers(F.col("query"))).alias("identifier"))
+
+
+def prj16_query_words(spark: SparkSession, folder: str) -> DataFrame:
+    asked = query_texts(spark, folder)
+    return asked.select("qid", F.array_join(lexical.query_words(F.col("query")), " ").alias("words"), F.array_join(lexical.cli_words(F.col("query")), " ").alias("cli_words"))
+
+
+def v05_lexical_bonus(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(lexical.lexical_bonus(_notes(spark, folder), query_texts(spark, folder)))
+
+
+def v15_first_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(lexical.first_lines(_notes(spark, folder), query_texts(spark, folder)))
+
+
+def v20_words_only(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(lexical.words_only(_notes(spark, folder), query_texts(spark, folder)))
+
+
+def v21_grep_cost(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(lexical.grep_cost(_notes(spark, folder), query_texts(spark, folder)))
+
+
+def q01_note_findings(spark: SparkSession, folder: str) -> DataFrame:
+    return checks.note_findings(_notes(spark, folder))
+
+
+def q08_dangling(spark: SparkSession, folder: str) -> DataFrame:
+    return links.dangling(_notes(spark, folder))
+
+
+def a03_homonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return links.homonyms(_notes(spark, folder))
+
+
+def q10_outdated_pins(spark: SparkSession, folder: str) -> DataFrame:
+    return checks.outdated_pins(_notes(spark, folder), {"cobbler-ci": "4.12.2", "oakmq": "2.0.1", "tallow": "3.4", "mirelog": "1.10.0"})
+
+
+def j07_common_siblings(spark: SparkSession, folder: str) -> DataFrame:
+    both = _notes(spark, folder).select("path").unionByName(table(spark, folder, "common_notes").select("path"))
+    return links.common_siblings(both)
+
+
+def j08_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    """The successors that notes name, resolved to paths."""
+    notes = _notes(spark, folder)
+    wanted = notes.select(F.regexp_replace(field("superseded_by"), r"[\[\]]", "").alias("name")).where("name is not null")
+    return plain(links.resolve(notes, wanted))
+
+
+def j09_citing(spark: SparkSession, folder: str) -> DataFrame:
+    return links.citing(_notes(spark, folder))
+
+
+def s01_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return plain(secrets.scan(docs.select(F.col("doc_id").cast("string").alias("path"), "text")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        prj01_blocks, prj03_chunks, prj05_chunk_context, prj07_split_key, prj08_excerpt, prj09_heads, prj14_links, prj15_identifiers, prj16_query_words, v05_lexical_bonus, v15_first_lines,
+        v20_words_only, v21_grep_cost, q01_note_findings, q08_dangling, a03_homonyms, q10_outdated_pins, j07_common_siblings, j08_resolve, j09_citing, s01_secrets,
+    )
+}
+
+_WS = r"[\s\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _key(x: str) -> str:
+    return rf"lower(regexp_replace({x}, '[^\p{{L}}\p{{N}}]', '', 'g'))"
+
+
+_STEM = r"regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\.[^.]*$', '\1')"
+_NAMES = f"names AS (SELECT DISTINCT path, {_key('x')} AS key FROM (SELECT path, fields['name'] AS x FROM n WHERE fields['name'] IS NOT NULL UNION SELECT path, {_STEM} FROM n) WHERE {_key('x')} <> '')"
+_TARGET = _trim("regexp_extract(l, '^([^|#]*)', 1)")
+_EDGES = rf"edges AS (SELECT path, target, {_key('target')} AS key FROM (SELECT path, {_TARGET} AS target FROM (SELECT path, unnest(regexp_extract_all(body, '(?s)\[\[(.*?)\]\]', 1)) AS l FROM n)))"
+_WORDS = r"list_filter(string_split_regex(lower(query), '[^\p{L}\p{N}_-]+'), lambda w: length(w) >= 3)"
+_CLI = rf"list_filter(string_split_regex(lower(query), '{_WS}+'), lambda w: strlen(w) >= 3)"
+_EXT = "|".join(lexical.EXTENSIONS)
+_IDS = rf"""ids AS (SELECT DISTINCT qid, t AS identifier FROM (SELECT qid, CASE WHEN regexp_matches(w, '\.(md|sh)$') THEN w ELSE regexp_replace(w, '^\.+|\.+$', '', 'g') END AS t
+  FROM (SELECT qid, unnest(string_split_regex(query, '[\s,;()«»"''?!:]+')) AS w FROM tq)) WHERE length(t) >= 3 AND (regexp_matches(t, '^[A-Z]{{2,}}-[0-9]+$') OR contains(t, '_') OR regexp_matches(t, '\.({_EXT})$')
+  OR (regexp_matches(t, '^[\p{{L}}\p{{N}}]+$') AND regexp_matches(t, '[a-z][A-Z]')) OR (regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Za-z]'))))"""
+_RULES = [
+    f"CASE WHEN fields['name'] <> {_STEM} THEN 'name differs from the file: ' || fields['name'] END",
+    f"CASE WHEN NOT regexp_matches({_STEM}, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'file name is not in kebab case' END",
+    f"CASE WHEN regexp_matches({_STEM}, '^({'|'.join(checks.TYPES)})[-_]') THEN 'file name begins with a type' END",
+    "CASE WHEN fields['name'] IS NULL THEN 'no name' END",
+    "CASE WHEN fields['description'] IS NULL THEN 'no description' END",
+    f"CASE WHEN fields['type'] NOT IN {checks.TYPES} THEN 'unknown type: ' || fields['type'] END",
+    "CASE WHEN fields['status'] = 'archived' AND fields['superseded_by'] IS NULL THEN 'archived without a successor' END",
+    "CASE WHEN fields['name'] IN ('>', '|') OR fields['description'] IN ('>', '|') THEN 'folded text in the header' END",
+    "CASE WHEN contains(coalesce(body, ''), chr(13)) OR contains(coalesce(fields['name'], ''), chr(13)) THEN 'Windows line ends' END",
+    f"CASE WHEN fields['status'] NOT IN {checks.STATES} THEN 'unknown status: ' || fields['status'] END",
+]
+_SECRETS = " UNION ".join(f"SELECT path, line, '{k}' AS kind FROM l WHERE regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for k, p in secrets.PATTERNS.items())
+
+SQL = {
+    "prj01_blocks": f"WITH {N_SQL}, b AS (SELECT path, list_filter(list_transform(string_split_regex(body, '\\n\\n+'), lambda x: {_trim('x')}), lambda x: x <> '') AS b FROM n) SELECT path, CAST(len(b) AS BIGINT) AS blocks, CAST(coalesce(list_sum(list_transform(b, lambda x: strlen(x))), 0) AS BIGINT) AS octets FROM b",
+    "prj03_chunks": "SELECT DISTINCT path, CAST(ordinal AS BIGINT) AS ordinal, md5(text) AS text_md5 FROM chunks",
+    "prj05_chunk_context": f"WITH {N_SQL} SELECT path, CAST(ordinal AS BIGINT) AS ordinal, md5(coalesce(fields['name'], '') || CASE WHEN coalesce(fields['description'], '') <> '' THEN chr(10) || fields['description'] ELSE '' END || chr(10) || chr(10) || text) AS context_md5 FROM (SELECT DISTINCT path, ordinal, text FROM chunks) JOIN n USING (path)",
+    "prj07_split_key": "SELECT DISTINCT vec_id, path, CAST(ordinal AS BIGINT) AS ordinal, question_no IS NOT NULL AS is_question FROM vectors WHERE path IS NOT NULL AND ordinal IS NOT NULL",
+    "prj08_excerpt": "SELECT DISTINCT path, CAST(ordinal AS BIGINT) AS ordinal, replace(left(text, 180), chr(10), ' ') AS excerpt FROM chunks WHERE path IS NOT NULL",
+    "prj09_heads": f"WITH {N_SQL} SELECT DISTINCT path, coalesce(fields['name'], {_STEM}) AS name, coalesce(fields['verified'], strftime(modified_at, '%Y-%m-%d')) AS date FROM n",
+    "prj14_links": f"WITH {N_SQL}, {_EDGES} SELECT path, target, key FROM edges",
+    "prj15_identifiers": f"WITH {T_SQL}, {_IDS} SELECT qid, identifier FROM ids",
+    "prj16_query_words": f"WITH {T_SQL} SELECT qid, array_to_string({_WORDS}, ' ') AS words, array_to_string({_CLI}, ' ') AS cli_words FROM tq",
+    "v05_lexical_bonus": f"WITH {N_SQL}, {T_SQL}, {_IDS}, raw AS (SELECT path, array_to_string(map_values(fields), chr(10)) || chr(10) || body AS raw FROM n) SELECT qid, path, round(least(count(*), 2) * 0.04, 6) AS bonus FROM raw, ids WHERE contains(raw, identifier) GROUP BY qid, path",
+    "v15_first_lines": rf"""WITH {N_SQL}, {T_SQL}, c AS (SELECT qid, {_CLI} AS words FROM tq), l AS (SELECT path, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS no FROM (SELECT path, string_split_regex(body, '\r?\n') AS lines FROM n)),
+w AS (SELECT qid, unnest(words) AS word FROM c) SELECT qid, path, CAST(no AS BIGINT) AS line_no, left({_trim('line')}, 110) AS line FROM (SELECT DISTINCT qid, path, no, line FROM l JOIN w ON contains(lower(line), word))
+QUALIFY row_number() OVER (PARTITION BY qid, path ORDER BY no) = 1""",
+    "v20_words_only": f"""WITH {N_SQL}, {T_SQL}, w AS (SELECT qid, unnest({_WORDS}) AS word FROM tq),
+f AS (SELECT qid, path, count(*) AS held, CAST(sum((length(low) - length(replace(low, word, ''))) // length(word)) AS BIGINT) AS times FROM (SELECT path, lower(body) AS low FROM n) JOIN w ON contains(low, word) GROUP BY qid, path)
+SELECT qid, path, held, times, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY held DESC, times DESC, path) AS place FROM f) WHERE place <= 5""",
+    "v21_grep_cost": f"""WITH {N_SQL}, {T_SQL}, w AS (SELECT DISTINCT qid, expected, unnest({_WORDS}) AS word FROM tq),
+f AS (SELECT qid, path, max(expected) AS expected, max(strlen(body)) AS octets, count(*) AS held FROM n JOIN w ON contains(lower(body), word) GROUP BY qid, path),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY held DESC, path) AS place FROM f QUALIFY place <= 5),
+d AS (SELECT *, coalesce(max(CASE WHEN path = expected THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM r)
+SELECT qid, count(*) AS notes_read, CAST(sum(ceil(octets / 4.0)) AS BIGINT) AS tokens, max(coalesce(path = expected, false)) AS reached FROM d WHERE done = 0 GROUP BY qid""",
+    "q01_note_findings": f"WITH {N_SQL} SELECT DISTINCT path, message FROM (SELECT path, unnest([{', '.join(_RULES)}]) AS message FROM n) WHERE message IS NOT NULL",
+    "q08_dangling": f"WITH {N_SQL}, {_NAMES}, {_EDGES} SELECT path, 'link to a note that doesn''t exist: [[' || target || ']]' AS message FROM edges WHERE key NOT IN (SELECT key FROM names)",
+    "a03_homonyms": f"WITH {N_SQL}, g AS (SELECT fields['name'] AS name, list(DISTINCT path) AS paths FROM n WHERE fields['name'] IS NOT NULL GROUP BY 1), o AS (SELECT list_sort(list_transform(paths, lambda x: string_split(x, '/'))) AS p FROM g WHERE len(paths) > 1) SELECT array_to_string(p[1], '/') AS path, 'name also borne by ' || array_to_string(list_transform(p[2:], lambda x: array_to_string(x, '/')), ', ') AS message FROM o",
+    "q10_outdated_pins": rf"""WITH {N_SQL}, p AS (SELECT path, trim(unnest(string_split(fields['depends_on'], ','))) AS pin FROM n), s AS (SELECT path, pin, string_split_regex(pin, '\s+') AS c FROM p),
+have(tool, have) AS (VALUES ('cobbler-ci', '4.12.2'), ('oakmq', '2.0.1'), ('tallow', '3.4'), ('mirelog', '1.10.0'))
+SELECT DISTINCT path, 'depends on ' || pin || ', installed is ' || have AS message FROM s JOIN have ON c[1] = tool WHERE len(c) >= 2 AND NOT starts_with(have, regexp_replace(c[2], '\.x$', ''))""",
+    "j07_common_siblings": "WITH a AS (SELECT DISTINCT path, split_part(path, '/', 1) AS family, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS project FROM (SELECT path FROM notes UNION SELECT path FROM common_notes) WHERE path IS NOT NULL) SELECT DISTINCT o.project, c.path FROM a c JOIN a o ON c.family = o.family WHERE c.project LIKE '%/common' AND o.project NOT LIKE '%/common'",
+    "j08_resolve": f"WITH {N_SQL}, {_NAMES}, w AS (SELECT DISTINCT regexp_replace(fields['superseded_by'], '[\\[\\]]', '', 'g') AS name FROM n WHERE fields['superseded_by'] IS NOT NULL) SELECT w.name, x.path, count(x.path) OVER (PARTITION BY w.name) AS matches FROM w LEFT JOIN names x ON {_key('w.name')} = x.key",
+    "j09_citing": f"WITH {N_SQL}, {_NAMES}, {_EDGES} SELECT DISTINCT x.path, e.path AS cited_by FROM names x JOIN edges e USING (key) WHERE x.path <> e.path",
+    "s01_secrets": rf"WITH l AS (SELECT path, unnest(lines) AS text, unnest(range(1, len(lines) + 1)) AS line FROM (SELECT CAST(doc_id AS VARCHAR) AS path, string_split_regex(text, '\r?\n') AS lines FROM documents WHERE doc_id IS NOT NULL)) {_SECRETS}",
+}
