@@ -1,20 +1,18 @@
 """Groups of texts that share most of their word n-grams, by pigeonhole blocks (problem 6).
 
-The fingerprint of a text is the bit vector of its word n-grams, kept as the sorted list of the bits that are
-set (64-bit hashes). Two texts reach a Jaccard similarity t exactly if the Hamming distance of these vectors
-is at most (1 - t) / (1 + t) times the sum of their sizes; so they also share at least
-``ceil(t * size)`` bits of either. All fingerprints are laid out in one global order, rarest bits first,
-and the first ``size - ceil(t * size) + 1`` bits form its head. By the pigeonhole principle two close
-fingerprints cannot share their bits in the tails alone: each bit of a head is a block, and a close pair
-shares at least one. The join on blocks therefore loses no pair. Candidates are cut by size and by the
-position of the shared bit, then verified by the exact Hamming distance.
+The fingerprint of a text is a row of slots, each the smallest of its n-grams' hashes under one hash function; two texts
+with a Jaccard similarity t agree in about a share t of their slots. The slots are cut into blocks of ``rows``
+each, so many that a pair at the threshold shares ``SHARED`` (13.1) blocks on average: by the pigeonhole principle two fingerprints that
+differ in no more than all but three blocks share three. Blocks are joined on, and pairs that share at least three are
+candidates. At the threshold a pair passes with probability 0.9998, above it with more (0.99999 at 0.55 for 0.5).
+Candidates are verified exactly: the bit vectors of their n-grams must lie within the Hamming distance that is
+equal to the similarity asked for, (1 - t) / (1 + t) times the sum of their sizes.
 
 (A 64-bit SimHash with fixed blocks can't do this at t = 0.5: close pairs then differ in some 17 to 25 bits, so blocks
-of two or three bits would be left, which nearly all pairs share.)
+of two or three bits would be left, which nearly all pairs share. Blocks of single rare n-grams lose nothing, but texts of few
+templates share too many of them, and the candidates grow with the square of the texts.)
 
-The order comes from counts of the bits in ``2 ** 22`` counters, summed over all texts: 16 MB, whatever the
-number of texts. Any order gives the same result; counts only keep the blocks small. Texts with equal
-fingerprints are one class and enter the join once; ``pairs`` are between classes, ``members`` names each text's
+Texts with equal sets of n-grams are one class and enter the join once; ``pairs`` are between classes, ``members`` names each text's
 class, and only ``near_pairs`` expands them.
 
 Defined results: a null text counts as empty; texts of fewer than n words have no n-gram and are in no pair;
@@ -32,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .words import each, grams, hash_words, words_of
+from .words import MIX, each, grams, hash_words, words_of
 
-COUNTERS_LOG2 = 22
+SHARED, LEAST_SHARED = 13.1, 3
+SEED = 20240311
 
 
 class NearDuplicates(NamedTuple):
@@ -61,40 +60,41 @@ def _fingerprints(n: int):
     return run
 
 
-def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << COUNTERS_LOG2, np.int64)
-    for batch in batches:
-        bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64)
-        total += np.bincount((bits >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), minlength=len(total))
-    for at in range(0, len(total), 1 << 16):
-        part = total[at : at + (1 << 16)]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([at >> 16], pa.int32()), pa.array([np.minimum(part, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["part", "counts"])
+def layout(threshold: float) -> tuple[int, int]:
+    """Slots in a block, and blocks."""
+    rows = int(np.clip(round(2 / (1 - min(threshold, 0.9))), 4, 8))
+    return rows, int(np.ceil(SHARED / threshold**rows))
 
 
-def _sum_counters(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table["counts"].to_pylist())
-    return pa.table({"part": table["part"].slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+def blocks_of(bits: np.ndarray, factors: np.ndarray, offsets: np.ndarray, rows: int) -> np.ndarray:
+    """The block keys of one fingerprint."""
+    x = (bits >> np.uint64(32)).astype(np.uint32)
+    slots = np.full(len(factors), 0xFFFFFFFF, np.uint32)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(x), 4096):
+            slots = np.minimum(slots, (x[at : at + 4096, None] * factors + offsets).min(axis=0))
+        parts = slots.reshape(-1, rows).astype(np.uint64)
+        key = np.arange(len(parts), dtype=np.uint64) * MIX
+        for i in range(rows):
+            key = (key ^ parts[:, i]) * MIX
+            key ^= key >> np.uint64(31)
+    return key
 
 
-def _heads(shared, threshold: float):
+def _blocks(threshold: float):
+    rows, count = layout(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = shared.value
+        rng = np.random.default_rng(SEED)
+        factors = rng.integers(0, 2**31, rows * count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        offsets = rng.integers(0, 2**32, rows * count, dtype=np.uint32)
         for batch in batches:
-            ids, bits, places, sizes = [], [], [], []
-            for id_, raw in zip(batch.column("class_id").to_pylist(), batch.column("bits").to_pylist()):
-                x = np.frombuffer(raw, np.uint64)
-                size = len(x)
-                seen = count[(x >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)]
-                order = np.lexsort((x, seen))
-                head = order[: size - int(np.ceil(threshold * size - 1e-9)) + 1]
-                head_at = np.arange(len(head))[seen[head] > 1]  # a bit that only this text sets starts no pair
-                ids.append(np.full(len(head_at), id_, np.int64))
-                bits.append(x[head[head_at]])
-                places.append(head_at.astype(np.int32))
-                sizes.append(np.full(len(head_at), size, np.int32))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(bits).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes))], names=["class_id", "bit", "place", "size"])
+            ids, raw = batch.column("class_id").to_numpy(), batch.column("bits").to_pylist()
+            for at in range(0, len(raw), 256):
+                part = [np.frombuffer(x, np.uint64) for x in raw[at : at + 256]]
+                keys = np.concatenate([blocks_of(x, factors, offsets, rows) for x in part])
+                sizes = np.array([len(x) for x in part], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 256], count)), pa.array(keys.view(np.int64)), pa.array(np.repeat(sizes, count))], names=["class_id", "block", "size"])
 
     return run
 
@@ -114,29 +114,18 @@ def _verify(threshold: float):
 
 def near_duplicates(texts: DataFrame, threshold: float = 0.8, n: int = 5) -> NearDuplicates:
     """``texts(key, text)``: classes of equal fingerprints and the close pairs between them."""
-    spark = texts.sparkSession
     once = texts.select("key", F.coalesce("text", F.lit("")).alias("text")).where("key is not null").groupBy("key").agg(F.min("text").alias("text"))
     key_type = once.schema["key"].dataType.simpleString()
     prints = materialize(once.mapInArrow(_fingerprints(n), f"key {key_type}, class_1 bigint, class_2 bigint, bits binary").withColumn("class_id", F.xxhash64("class_1", "class_2")))
     classes = prints.groupBy("class_id").agg(F.max("bits").alias("bits"))
-    parts = classes.select("bits").mapInArrow(_counters, "part int, counts binary").groupBy("part").applyInArrow(_sum_counters, "part int, counts binary")
-    count = np.zeros(1 << COUNTERS_LOG2, np.int32)
-    for row in parts.toLocalIterator():  # 64 rows of 256 kB, whatever the number of texts
-        count[row["part"] << 16 : (row["part"] + 1) << 16] = np.frombuffer(row["counts"], np.int32)
-    shared = spark.sparkContext.broadcast(count)
-    heads = classes.mapInArrow(_heads(shared, threshold), "class_id bigint, bit bigint, place int, size int")
-    a = heads.select("bit", *[F.col(c).alias(f"{c}_a") for c in ("class_id", "place", "size")])
-    b = heads.select("bit", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "place", "size")])
-    least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    # What the shared bit leaves to either side bounds the common bits from above.
-    above = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + F.least("place_a", "place_b")
-    need = threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9
+    blocks = classes.mapInArrow(_blocks(threshold), "class_id bigint, block bigint, size int")
+    side = lambda s: blocks.select("block", F.col("class_id").alias(f"class_{s}"), F.col("size").alias(f"size_{s}"))
     close = (
-        a.join(b, "bit")
-        .where((F.col("class_id_a") < F.col("class_id_b")) & (least >= threshold * most - 1e-9) & (above >= need))
-        .select(F.col("class_id_a").alias("class_a"), F.col("class_id_b").alias("class_b"))
-        .distinct()
-    )
+        side("a").join(side("b"), "block")
+        .where((F.col("class_a") < F.col("class_b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9))
+        .groupBy("class_a", "class_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
+        .select("class_a", "class_b")
+    )
     bits = lambda side: classes.select(F.col("class_id").alias(f"class_{side}"), F.col("bits").alias(f"bits_{side}"))
     pairs = close.join(bits("a"), "class_a").join(bits("b"), "class_b").mapInArrow(_verify(threshold), "class_a bigint, class_b bigint, common bigint, size_a bigint, size_b bigint")
     return NearDuplicates(prints.select("key", "class_id"), pairs, classes)
