@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SEED = 20240229
 DIRECTIONS = 16
 #: Windows that must hold a vector before it is verified, of DIRECTIONS.
@@ -183,8 +185,8 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, leaf: int = 1
     spare = copies.groupBy("copy").agg(F.count("*").alias("n")).where(F.col("n") > k + 1).select("copy")
     many = copies.join(spare, "copy", "left_semi")
     lead = many.select("copy", "vec_id", F.row_number().over(_by_copy()).alias("place")).where(F.col("place") <= k + 1).groupBy("copy").agg(F.max("vec_id").alias("last"), F.sort_array(F.collect_list("vec_id")).alias("first"))
-    rest = many.join(lead, "copy").where("vec_id > last")
-    asked = rows.join(rest.select("vec_id"), "vec_id", "left_anti")
+    rest = materialize(many.join(lead, "copy").where("vec_id > last"))
+    asked = rows if rest.isEmpty() else rows.join(rest.select("vec_id"), "vec_id", "left_anti")
     cells = asked.mapInArrow(_assign(shared, dim, slack, most_cells), "cell int, asks boolean, vec_id bigint, raw binary")
     found = cells.groupBy("cell").applyInArrow(_answer(dim, k), SCHEMA)
     of_copies = rest.select(F.col("vec_id").alias("vec_a"), F.explode(F.slice("first", 1, k)).alias("vec_b"), F.lit(1.0).alias("score"))
