@@ -46,19 +46,21 @@ def expected(notes: DataFrame, chunks: DataFrame, questions: DataFrame | None =
     return main.unionByName(more).withColumnRenamed("full", "text")
 
 
-def _on(a: DataFrame, b: DataFrame):
-    return (a["path"] == b["path"]) & (a["ordinal"] == b["ordinal"]) & F.coalesce(a["question_no"], F.lit(-1)).eqNullSafe(F.coalesce(b["question_no"], F.lit(-1)))
+def _matched(a: DataFrame, b: DataFrame, how: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of a with (``left_semi``) or without (``left_anti``) a row of the same key in b."""
+    keyed = lambda df: df.select("path", "ordinal", F.coalesce("question_no", F.lit(-1)).alias("_question"), *also)
+    on = ["path", "ordinal", "_question", *also]
+    return a.withColumn("_question", F.coalesce("question_no", F.lit(-1))).join(keyed(b), on, how).select(*a.columns)
 
 
 def stale(wanted: DataFrame, have: DataFrame) -> DataFrame:
     """The wanted vectors that are missing or have another fingerprint."""
-    same = have.select(*KEY, F.col("fingerprint").alias("had"))
-    return wanted.join(same, _on(wanted, same) & (wanted["fingerprint"] == same["had"]), "left_anti")
+    return _matched(wanted, have, "left_anti", ("fingerprint",))
 
 
 def ghosts(wanted: DataFrame, have: DataFrame) -> DataFrame:
     """The vectors that nothing wants any more."""
-    return have.join(wanted, _on(have, wanted), "left_anti")
+    return _matched(have, wanted, "left_anti")
 
 
 def pending_questions(chunks: DataFrame, questions: DataFrame, most: int | None = None) -> DataFrame:
@@ -76,7 +78,7 @@ def upsert(have: DataFrame, new: DataFrame, dim: int) -> DataFrame:
     aren't finite, is refused with an error."""
     good = F.coalesce((F.size("embedding") == dim) & F.forall("embedding", lambda v: ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     guarded = new.withColumn("embedding", F.when(good, F.col("embedding")).otherwise(F.raise_error(F.lit("a vector has the wrong size or isn't finite"))))
-    return have.join(new, _on(have, new), "left_anti").unionByName(guarded)
+    return _matched(have, new, "left_anti").unionByName(guarded)
 
 
 def refresh(notes: DataFrame, chunks: DataFrame, have: DataFrame, questions: DataFrame | None = None, factory: Callable[[], Encoder] = HashingEncoder) -> tuple[DataFrame, DataFrame]:
@@ -84,10 +86,10 @@ def refresh(notes: DataFrame, chunks: DataFrame, have: DataFrame, questions: Dat
     wanted = materialize(expected(notes, chunks, questions))
     todo = stale(wanted, have)
     new = materialize(todo.withColumn("e", encode_column(F.col("text"), factory)).select(*KEY, "fingerprint", "e.embedding", "e.truncated"))
-    kept = have.join(wanted, _on(have, wanted), "left_semi").join(new, _on(have, new), "left_anti")
+    kept = _matched(_matched(have, wanted, "left_semi"), new, "left_anti")
     out = kept.select(*new.columns).unionByName(new)
     count = lambda df, name, what="*": df.agg(F.count(what).alias(name))
-    stats = count(wanted.select("path").distinct(), "notes").crossJoin(wanted.agg(F.count_if("question_no is null").alias("chunks"), F.count_if("question_no is not null").alias("questions")))
+    stats = count(wanted.select("path").distinct(), "notes").crossJoin(wanted.agg(F.count_if(F.col("question_no").isNull()).alias("chunks"), F.count_if(F.col("question_no").isNotNull()).alias("questions")))
     stats = stats.crossJoin(new.agg(F.count("*").alias("encoded"), F.count_distinct("path").alias("notes_encoded"), F.count_if("truncated").alias("truncated"))).crossJoin(count(ghosts(wanted, have), "removed"))  # one row each
     return out, stats.withColumn("unchanged", F.col("notes") - F.col("notes_encoded"))
 

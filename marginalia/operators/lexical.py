@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_chars, occurrences, strip
+from ..functions.text import first_chars, strip
 
 # File extensions that make a word an identifier.
 EXTENSIONS = ("c", "cfg", "conf", "csv", "go", "html", "java", "js", "json", "md", "py", "rs", "sh", "sql", "toml", "ts", "yaml", "yml")
-FEW = 4096
+MOST_WORDS = 1_000_000
 
 
 def identifiers(query: Column) -> Column:
@@ -35,36 +39,80 @@ def _once(notes: DataFrame) -> DataFrame:
     return notes.where("path is not null").groupBy("path").agg(F.max("body").alias("body"))
 
 
-def _few(queries: DataFrame, words: Column) -> DataFrame:
-    """At most FEW queries (checked by the caller's limit) with their words; they go to every executor."""
-    return F.broadcast(queries.select("qid", words.alias("words")).limit(FEW))
+def _asked(queries: DataFrame, words: Column) -> tuple[DataFrame, list[str]]:
+    """The queries with their words, one row for each word of a query and ``times``, how often the query says it; and
+    the distinct words, which go to every executor and must be few (checked)."""
+    rows = queries.select("qid", F.explode(words).alias("word")).where("word <> ''").groupBy("qid", "word").agg(F.count("*").cast("int").alias("said"))
+    few = [r["word"] for r in rows.select("word").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(few) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} different words: split the queries into several calls")
+    return rows, few
+
+
+def occurring(texts: DataFrame, words: list[str], lower: bool = True) -> DataFrame:
+    """``path, word, times, line_no, line``: every given word that a text of ``texts(path, text)`` holds, how often without
+    overlap, and the first line with it. Each text is read once for all words together, by an automaton."""
+    shared = texts.sparkSession.sparkContext.broadcast(sorted(set(words)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not shared.value:
+            return
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for i, w in enumerate(shared.value):
+            machine.add_word(w, (i, len(w)))
+        machine.make_automaton()
+        for batch in batches:
+            out = []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                if not text:
+                    continue
+                read = text.lower() if lower else text
+                found: dict[int, list[int]] = {}
+                for end, (i, size) in machine.iter(read):
+                    at = found.setdefault(i, [0, -1, end - size + 1])  # times, end of the last counted, first start
+                    if end - size + 1 > at[1]:
+                        at[0], at[1] = at[0] + 1, end
+                if found:
+                    lines = text.split("\n")
+                    starts = np.cumsum([0] + [len(x) + 1 for x in read.split("\n")])
+                    for i, (times, _, first) in found.items():
+                        no = int(np.searchsorted(starts, first, side="right"))
+                        out.append((row, shared.value[i], times, no, lines[no - 1].rstrip("\r")))
+            if out:
+                row, word, times, no, line = zip(*out)
+                yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(row)), pa.array(word), pa.array(times, pa.int64()), pa.array(no, pa.int32()), pa.array(line, pa.string())], names=["path", "word", "times", "line_no", "line"])
+
+    return texts.select("path", "text").mapInArrow(run, "path string, word string, times bigint, line_no int, line string")
+
+
+def _hits(notes: DataFrame, queries: DataFrame, words: Column) -> DataFrame:
+    """``qid, path, word, said, times, line_no, line`` of the bodies."""
+    asked, few = _asked(queries, words)
+    return asked.join(occurring(_once(notes).select("path", F.col("body").alias("text")), few), "word")
 
 
 def lexical_bonus(notes: DataFrame, queries: DataFrame, step: float = 0.04) -> DataFrame:
     """``qid, path, bonus``: the step for each of up to two identifiers of the query that the note holds verbatim."""
-    asked = _few(queries, identifiers(F.col("query"))).where(F.size("words") > 0)
-    raw = notes.where("path is not null").groupBy("path").agg(F.max(F.concat_ws("\n", F.map_values("fields"), F.col("body"))).alias("raw"))
-    # a stated set of at most FEW queries against all notes, in one scan
-    hits = raw.crossJoin(asked).withColumn("n", F.size(F.filter("words", lambda w: F.contains(F.col("raw"), w))))
-    return hits.where((F.col("n") > 0) & (F.lit(step) > 0)).select("qid", "path", (F.least("n", F.lit(2)) * step).alias("bonus"))
+    asked, few = _asked(queries, identifiers(F.col("query")))
+    raw = notes.where("path is not null").groupBy("path").agg(F.max(F.concat_ws("\n", F.map_values("fields"), F.col("body"))).alias("text"))
+    hits = asked.join(occurring(raw, few, lower=False), "word").groupBy("qid", "path").agg(F.count("*").alias("n"))
+    return hits.where(F.lit(step) > 0).select("qid", "path", (F.least("n", F.lit(2)) * step).alias("bonus"))
 
 
 def first_lines(notes: DataFrame, queries: DataFrame) -> DataFrame:
     """``qid, path, line_no, line``: the first body line of each note that holds any word of the query."""
-    asked = _few(queries, cli_words(F.col("query")))
-    lines = F.transform(F.split("body", "\r?\n"), lambda x, i: F.struct((i + 1).alias("no"), x.alias("line")))
-    hits = _once(notes).select("path", lines.alias("lines")).crossJoin(asked).withColumn("hit", F.filter("lines", lambda x: F.exists("words", lambda w: F.contains(F.lower(x["line"]), w))))
-    return hits.where(F.size("hit") > 0).select("qid", "path", F.col("hit")[0]["no"].cast("int").alias("line_no"), first_chars(strip(F.col("hit")[0]["line"]), 110).alias("line"))
+    first = _hits(notes, queries, cli_words(F.col("query"))).groupBy("qid", "path").agg(F.min(F.struct("line_no", "line")).alias("h"))
+    return first.select("qid", "path", "h.line_no", first_chars(strip(F.col("h.line")), 110).alias("line"))
 
 
 def words_only(notes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """Notes by how many of the query's words they hold (repeats count), then by how often, then by path."""
-    asked = _few(queries, query_words(F.col("query")))
-    found = _once(notes).withColumn("low", F.lower("body")).crossJoin(asked)
-    found = found.withColumn("held", F.size(F.filter("words", lambda w: F.contains(F.col("low"), w))))
-    found = found.withColumn("times", F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: s + occurrences(F.col("low"), w)))
+    hits = _hits(notes, queries, query_words(F.col("query")))
+    found = hits.groupBy("qid", "path").agg(F.sum("said").alias("held"), F.sum(F.col("said") * F.col("times")).alias("times"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("held"), F.desc("times"), "path"))
-    return found.where("held > 0").select("qid", "path", "held", "times").withColumn("place", place).where(F.col("place") <= limit)
+    return found.withColumn("place", place).where(F.col("place") <= limit)
 
 
 def grep_cost(notes: DataFrame, queries: DataFrame, longest: int | None = None, most_notes: int = 5) -> DataFrame:
@@ -73,9 +121,8 @@ def grep_cost(notes: DataFrame, queries: DataFrame, longest: int | None = None,
     words = F.array_distinct(query_words(F.col("query")))
     if longest:
         words = F.slice(F.array_sort(words, lambda a, b: (F.char_length(b) - F.char_length(a))), 1, longest)
-    asked = F.broadcast(queries.select("qid", "expected", words.alias("words")).limit(FEW))
-    found = _once(notes).select("path", F.lower("body").alias("low"), F.octet_length("body").alias("octets")).crossJoin(asked)
-    found = found.withColumn("held", F.size(F.filter("words", lambda w: F.contains(F.col("low"), w)))).where("held > 0")
+    octets = notes.where("path is not null").groupBy("path").agg(F.max(F.octet_length("body")).alias("octets"))
+    found = _hits(notes, queries, words).groupBy("qid", "path").agg(F.count("*").alias("held")).join(queries.select("qid", "expected"), "qid").join(octets, "path")
     order = Window.partitionBy("qid").orderBy(F.desc("held"), "path")
     ranked = found.select("qid", "path", "expected", "octets", "held").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most_notes)
     before = F.max((F.col("path") == F.col("expected")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -96,7 +96,7 @@ def supersede(notes: DataFrame, old_path: str, new_path: str, new_content: str,
 
 def see_also(content: str, name: str) -> str:
     """The content with a link to the name, unless it has one."""
-    if any(key_of(re.split(r"[|#]", x)[0]) == key_of(name) for x in re.findall(r"\[\[(.*?)\]\]", content, re.S)):
+    if any(key_of(re.split(r"[|#]", x)[0]) == key_of(name) for x in re.findall(r"\[\[([^\[\]]*)\]\]", content)):
         return content
     return content.rstrip("\n") + f"\n\nSee also [[{name}]]\n"
 
@@ -108,7 +108,7 @@ def link_both(notes: DataFrame, a: str, b: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def add(paths: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([see_also(t, other[p]) for p, t in zip(paths, texts)])
+        return pd.Series([see_also(t, other[p]) if p in other and t is not None else t for p, t in zip(paths, texts)])
 
     return notes.withColumn("content", F.when(F.col("path").isin(a, b), add("path", "content")).otherwise(F.col("content")))
 

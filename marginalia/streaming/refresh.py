@@ -18,10 +18,11 @@ def missed_stream(searches: DataFrame, reads: DataFrame, window: int = 600, late
     """``read_id, path, read_at, search_at, query, shown`` for each read and each search at most ``window`` seconds before it; both sides need
     ``at``, a timestamp. State is kept for the watermark and the window only. The latest search of each read is
     picked in ``latest_missed``, since a stream may only append."""
-    s = searches.select(F.col("at").alias("search_at"), "query", "shown").withWatermark("search_at", late)
-    r = reads.where("path is not null").select("read_id", "path", F.col("at").alias("read_at")).withWatermark("read_at", late)
+    slot = lambda shift: F.floor(F.unix_seconds("at") / window).cast("bigint") + shift
+    s = searches.withWatermark("at", late).select(F.col("at").alias("search_at"), "query", "shown", F.explode(F.array(slot(0), slot(1))).alias("slot"))
+    r = reads.where("path is not null").withWatermark("at", late).select("read_id", "path", F.col("at").alias("read_at"), slot(0).alias("slot"))
     near = (F.col("search_at") <= F.col("read_at")) & (F.col("read_at") <= F.col("search_at") + F.expr(f"interval {window} seconds"))
-    return r.join(s, near)
+    return r.join(s, (r["slot"] == s["slot"]) & near).select("read_id", "path", "read_at", "search_at", "query", "shown")
 
 
 def latest_missed(matched: DataFrame) -> DataFrame:
