@@ -9,11 +9,15 @@ from __future__ import annotations
 import atexit
 import math
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -34,6 +38,22 @@ def session(name: str = "marginalia", master: str | None = None, cores: int = 8,
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for an application, wherever they were started. The archive is the
+    driver's; Spark serves it to every executor, also to those that come later."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="marginalia-code-")) / "marginalia_code.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    atexit.register(shutil.rmtree, at.parent, ignore_errors=True)
+    sc.addPyFile(str(at))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Only a local session may fall back to a folder of this machine."""
     sc = spark.sparkContext
