@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import field, stem
+from ..functions.tokens import VOCABULARY, token_count
+from .chunking import with_context
 from .links import dangling, homonyms
 
 # The types and states a note may have.
@@ -51,6 +53,15 @@ def outdated_pins(notes: DataFrame, installed: dict[str, str]) -> DataFrame:
     return parts.join(have, "tool").where(~F.startswith("have", "want")).select("path", F.concat(F.lit("depends on "), F.col("pin"), F.lit(", installed is "), F.col("have")).alias("message")).distinct()
 
 
+def truncated(notes: DataFrame, chunks: DataFrame, window: int = 512, vocabulary: str = VOCABULARY, most: int = 10) -> DataFrame:
+    """``path, ordinal, tokens``: the ``most`` passages that with their context exceed a model's window by most. A report, not a failure."""
+    heads = notes.where("path is not null").groupBy("path").agg(F.max(F.struct(field("name").alias("n"), field("description").alias("d"))).alias("h"))
+    texts = chunks.select("path", "ordinal", "text").distinct().join(heads, "path").select("path", "ordinal", with_context(F.col("h.n"), F.col("h.d"), F.col("text")).alias("text"))
+    # A token holds at least one octet: short texts can't exceed the window, and aren't sent to the tokenizer.
+    long_ = texts.where(F.octet_length("text") > window - 2).withColumn("tokens", token_count(F.col("text"), vocabulary) + 2)
+    return long_.where(F.col("tokens") > window).select("path", "ordinal", "tokens").orderBy(F.desc("tokens"), "path", "ordinal").limit(most)
+
+
 def all_findings(notes: DataFrame) -> DataFrame:
     return note_findings(notes).unionByName(homonyms(notes)).unionByName(dangling(notes))
 

@@ -40,6 +40,14 @@ def fidelity(vectors: DataFrame, chunks: DataFrame, dim: int = 64, bucket: int =
     return ranked.groupBy("bucket").agg(F.count("*").alias("vectors"), F.min("like").alias("least"), F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("like"))).alias("median"), F.avg("like").alias("mean"))
 
 
+def passage_cost(passages: DataFrame, cases: DataFrame) -> DataFrame:
+    """What a reader of passages pays: ``qid, passages, tokens, reached``, of ``passages(qid, path, text)`` and ``cases(qid, expected)``. Tokens are
+    a quarter of the octets, rounded up. Queries without a passage pay nothing."""
+    paid = passages.groupBy("qid").agg(F.count("*").alias("passages"), F.sum(F.ceil(F.octet_length("text") / 4)).alias("tokens"), F.collect_set("path").alias("paths"))  # a handful for each query
+    rows = cases.select("qid", "expected").join(paid, "qid", "left")
+    return rows.select("qid", F.coalesce("passages", F.lit(0)).alias("passages"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.array_contains("paths", F.col("expected")), F.lit(False)).alias("reached"))
+
+
 SEED = 0x5EED1234ABCD0001
 
 

@@ -97,6 +97,10 @@ def q10_outdated_pins(spark: SparkSession, folder: str) -> DataFrame:
     return checks.outdated_pins(_notes(spark, folder), {"cobbler-ci": "4.12.2", "oakmq": "2.0.1", "tallow": "3.4", "mirelog": "1.10.0"})
 
 
+def q11_truncated(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(checks.truncated(_notes(spark, folder), table(spark, folder, "chunks")))
+
+
 def j07_common_siblings(spark: SparkSession, folder: str) -> DataFrame:
     both = _notes(spark, folder).select("path").unionByName(table(spark, folder, "common_notes").select("path"))
     return links.common_siblings(both)
@@ -122,7 +126,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prj01_blocks, prj03_chunks, prj05_chunk_context, prj07_split_key, prj08_excerpt, prj09_heads, prj14_links, prj15_identifiers, prj16_query_words, v05_lexical_bonus, v15_first_lines,
-        v20_words_only, v21_grep_cost, q01_note_findings, q08_dangling, a03_homonyms, q10_outdated_pins, j07_common_siblings, j08_resolve, j09_citing, s01_secrets,
+        v20_words_only, v21_grep_cost, q01_note_findings, q08_dangling, a03_homonyms, q10_outdated_pins, q11_truncated, j07_common_siblings, j08_resolve, j09_citing, s01_secrets,
     )
 }
 

@@ -110,6 +110,20 @@ def b07_diagnose(spark: SparkSession, folder: str) -> DataFrame:
     return plain(measure.diagnose(scored, cases))
 
 
+def b03_passage_cost(spark: SparkSession, folder: str) -> DataFrame:
+    """The cost of reading passages in place of whole notes, for the questions' own notes."""
+    asked, cases = _cases(spark, folder)
+    found = ranking.answer(vectors(spark, folder).where("question_no is null"), asked, table(spark, folder, "notes"), table(spark, folder, "chunks"))
+    return plain(measure.passage_cost(found, cases))
+
+
+def b02_leave_one_out(spark: SparkSession, folder: str) -> DataFrame:
+    """Learned bonuses for the learned queries themselves, each without the pairs of its own text."""
+    known = _pair_vectors(spark, folder)
+    asked = known.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "query", "embedding")
+    return plain(learned_bonus(_pairs(spark, folder), known, asked, TODAY_DAYS, skip_own=True))
+
+
 def b05_q8_fidelity(spark: SparkSession, folder: str) -> DataFrame:
     return plain(measure.fidelity(vectors(spark, folder), table(spark, folder, "chunks")))
 
@@ -118,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         v02_vec_topk, v04_note_rank_max, v06_learned_bonus, v08_learned_window, v09_note_rank_bonus, v10_search, v11_answer, v13_hook,
-        v16_nearest_active, v17_near_note_pairs, v18_recentred_rank, v19_mmr, b01_bench_metrics, b07_diagnose, b05_q8_fidelity,
+        v16_nearest_active, v17_near_note_pairs, v18_recentred_rank, v19_mmr, b01_bench_metrics, b02_leave_one_out, b03_passage_cost, b07_diagnose, b05_q8_fidelity,
     )
 }
 
@@ -173,6 +187,9 @@ sc AS (SELECT y.vec_id AS qid, x.path, max(list_cosine_similarity(x.d, y.d)) AS
 SELECT qid, path, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS place FROM sc) WHERE place <= 5""",
     "b01_bench_metrics": f"""WITH {V_SQL}, {_TEXT_BEST}, {_CASES} SELECT family, count(*) AS cases, round(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN place IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS top5,
   round(avg(CASE WHEN place IS NOT NULL AND t.ordinal = c.ordinal THEN 1.0 ELSE 0.0 END), 6) AS right_passage FROM cases c LEFT JOIN tranked t ON t.qid = c.qid AND t.path = c.expected AND t.place <= 5 GROUP BY family""",
+    "b02_leave_one_out": f"""{_LEARNED}, own AS (SELECT query, vec_id AS qid, e AS qe FROM (SELECT query, min(pair_id) AS vec_id FROM feedback WHERE query IS NOT NULL GROUP BY query) JOIN (SELECT DISTINCT vec_id, e FROM v) USING (vec_id) WHERE vec_id % 100 = 0),
+sim2 AS (SELECT fv.query, qid, list_cosine_similarity(e, qe) AS sim FROM fv JOIN own ON fv.query <> own.query)
+SELECT qid, path, round(least(sum(0.03 * sim * least(coalesce(count, 0), 3) / 3 * pow(0.5, greatest({TODAY_DAYS} - last_day, 0) / 60.0)), 0.05), 6) AS bonus FROM fb JOIN sim2 USING (query) WHERE sim >= 0.85 AND path IS NOT NULL GROUP BY qid, path""",
     "b07_diagnose": f"""WITH {V_SQL}, {_TEXT_BEST}, {_CASES} SELECT c.qid, round(t.score, 6) AS target_score, round(m.top, 6) AS top_score, round(m.top - t.score, 6) AS gap FROM cases c JOIN tbest t ON t.qid = c.qid AND t.path = c.expected
   JOIN (SELECT qid, max(score) AS top FROM tbest GROUP BY qid) m ON m.qid = c.qid""",
     "b05_q8_fidelity": f"""WITH {V_SQL}, w AS (SELECT DISTINCT vec_id, path, ordinal, e FROM v WHERE question_no IS NULL),
