@@ -20,7 +20,6 @@ smallest text counts); ties in finish time go by source, pass and id; empty tabl
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,30 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tokens import VOCABULARY, count
 from ..session import materialize
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the split pattern published with the byte-level BPE vocabularies of 50,257 entries.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-_encoders: dict[str, object] = {}
-
-
-def _encoder(path: str):
-    if path not in _encoders:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
-
-
 def _tokens(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path)
         for batch in batches:
-            n = [sum(len(encode.encode_ordinary(x[i : i + 100_000])) for i in range(0, len(x), 100_000)) if len(x) > 1_000_000 else len(encode.encode_ordinary(x)) for x in batch.column("text").to_pylist()]
+            n = [count(x, path) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
 
     return run
@@ -63,8 +45,8 @@ def source_key(column: str):
 
 
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, source (folded), tokens; each document once. Texts above a million characters are encoded in
-    stretches of 100,000, which may add a token at each cut."""
+    """doc_id, source (folded), tokens; each document once. Longer texts than a million characters are encoded in
+    stretches."""
     once = documents.select("doc_id", source_key("source").alias("source"), "text").where("doc_id is not null and source is not null and source <> '' and text is not null")
     once = once.groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("x")).select("doc_id", "x.source", "x.text")
     return once.mapInArrow(_tokens(vocabulary), "doc_id bigint, source string, tokens bigint")
