@@ -129,8 +129,8 @@ class Engine:
             return []
         return [p for p in self.answer(asked, n=2, max_chars=700) if p["score"] >= 0.60]
 
-    def read(self, name: str, now: int | None = None) -> str:
-        path = lifecycle.find_note(self.raw(), name)
+    def read(self, name: str, project: str | None = None, now: int | None = None) -> str:
+        path = lifecycle.find_note(self.raw(), name, project)
         self._log("reads.tsv", now or int(time.time()), path)
         with open(os.path.join(self.root, path)) as f:
             return f.read()
@@ -214,16 +214,15 @@ class Engine:
 
     def learn(self) -> int:
         """Folds the searches and reads so far into the learned pairs; returns how many pairs there are."""
-        s, r = self._at("searches.tsv"), self._at("reads.tsv")
-        if not (os.path.exists(s) and os.path.exists(r)):
-            return 0
-        searches = logs.search_log(self.spark, s).withColumn("search_id", F.monotonically_increasing_id())
-        reads = logs.read_log(self.spark, r).withColumn("read_id", F.monotonically_increasing_id())
-        missed = feedback.missed_pairs(searches, reads).select("query", "path", "day", F.lit("missed").alias("source"))
-        said = self._at("explicit.tsv")
+        s, r, said = (self._at(f"{x}.tsv") for x in ("searches", "reads", "explicit"))
+        missed = self.spark.createDataFrame([], "query string, path string, day bigint, source string")
+        if os.path.exists(s) and os.path.exists(r):
+            searches = logs.search_log(self.spark, s).withColumn("search_id", F.monotonically_increasing_id())
+            reads = logs.read_log(self.spark, r).withColumn("read_id", F.monotonically_increasing_id())
+            missed = missed.unionByName(feedback.missed_pairs(searches, reads).select("query", "path", "day", F.lit("missed").alias("source")))
         if os.path.exists(said):
-            told = self.spark.read.text(said).select(F.split("value", "\t").alias("c")).select(F.col("c")[1].alias("query"), F.col("c")[2].alias("path"), F.floor(F.col("c")[0].cast("bigint") / 86400).cast("bigint").alias("day"), F.lit("explicit").alias("source"))
-            missed = missed.unionByName(told)
+            told = self.spark.read.text(said).select(F.split("value", "\t").alias("c")).where(F.size("c") == 3)
+            missed = missed.unionByName(told.select(F.col("c")[1].alias("query"), F.col("c")[2].alias("path"), F.floor(F.col("c")[0].cast("bigint") / 86400).cast("bigint").alias("day"), F.lit("explicit").alias("source")))
         rows = [x.asDict() for x in feedback.fold(missed).orderBy("query", "path").collect()]  # a personal log
         logs.save_json(self._at("feedback.json"), rows)
         return len(rows)
@@ -232,6 +231,46 @@ class Engine:
         self._log("explicit.tsv", now or int(time.time()), query.strip(), lifecycle.find_note(self.raw(), name))
         return self.learn()
 
+    def forget(self, query: str) -> int:
+        """Drops the pairs of a query, and what was said about it; returns how many pairs are left."""
+        said = self._at("explicit.tsv")
+        if os.path.exists(said):
+            with open(said) as f:
+                kept = [x for x in f if x.split("\t")[1:2] != [query.strip()]]
+            notes.write_if_changed(said, "".join(kept))
+        left = feedback.forget(logs.feedback_table(self.spark, self._at("feedback.json")), query)
+        rows = [r.asDict() for r in left.orderBy("query", "path").collect()]
+        logs.save_json(self._at("feedback.json"), rows)
+        return len(rows)
+
+    def learned(self) -> list[dict]:
+        """The learned pairs, newest first, with what age leaves of them."""
+        report = feedback.pairs_report(logs.feedback_table(self.spark, self._at("feedback.json")), self._day())
+        return [r.asDict() for r in report.orderBy(F.desc("last_day"), "query", "path").collect()]
+
+    def regen(self, project: str | None = None) -> dict[str, int]:
+        """Writes the projects' indexes, or one project's, and returns their octets."""
+        rendered = hot.render(materialize(self.notes()))
+        return notes.write_indexes(rendered.where(F.col("project") == project) if project else rendered, self.root)
+
+    def secrets(self) -> list[tuple]:
+        return [tuple(r) for r in secrets.scan(self.raw().select("path", F.col("content").alias("text"))).orderBy("path", "line", "kind").collect()]
+
+    def list(self) -> list[tuple]:
+        """Every project with its number of notes, also empty ones."""
+        have = self.spark.createDataFrame([(p,) for p in notes.projects(self.root)] or [], "project string")
+        return [tuple(r) for r in curation.per_project(self.notes(), have).orderBy("family", "project").collect()]
+
+    def usage(self, now: int | None = None) -> dict[str, int]:
+        """Calls so far and in the last day, and the upper median of their milliseconds."""
+        at = self._at("usage.tsv")
+        if not os.path.exists(at):
+            return {"calls": 0, "last_day": 0, "median_ms": 0}
+        log = logs.usage_log(self.spark, at)
+        n = log.count()
+        middle = log.orderBy("ms").offset(n // 2).limit(1).first()
+        return {"calls": n, "last_day": log.where(F.col("secs") > (now or int(time.time())) - 86400).count(), "median_ms": middle["ms"] if middle else 0}
+
     def since(self, days: int) -> list[tuple]:
         return [tuple(r) for r in curation.changes_since(logs.git_history(self.spark, self.root, days), 0).orderBy("directory", "path").collect()]
 
@@ -247,7 +286,7 @@ class Engine:
         return {"notes": self.raw().count(), "vectors": v.count(), "usable": v.where(usable(dim=self.header["dim"])).count()}
 
 
-TOOLS = ("search", "answer", "context", "read", "append", "verify", "check", "curation", "learn", "since", "why", "status", "index", "hook", "link", "write", "supersede", "teach")
+TOOLS = ("search", "answer", "context", "read", "append", "verify", "check", "curation", "learn", "since", "why", "status", "index", "hook", "link", "write", "supersede", "teach", "forget", "learned", "regen", "secrets", "list", "usage")
 
 
 def serve(engine: Engine, lines=sys.stdin, out=sys.stdout) -> None:
@@ -260,7 +299,7 @@ def serve(engine: Engine, lines=sys.stdin, out=sys.stdout) -> None:
             ask = json.loads(line)
             reply["id"] = ask.get("id")
             if ask["method"] == "tools":
-                reply["result"] = list(TOOLS)
+                reply["result"] = [*TOOLS]
             elif ask["method"] in TOOLS:
                 params = ask.get("params", {})
                 method = getattr(engine, ask["method"])

@@ -88,8 +88,9 @@ def score_against(vectors: DataFrame, queries: DataFrame, dim: int = 64, keep: i
     return kept.mapInArrow(run, "qid bigint, path string, ordinal int, question_no int, score double")
 
 
-def alike(rows: DataFrame, queries: DataFrame, least: float, dim: int = 64, most_queries: int = 65_536) -> DataFrame:
-    """``key, qid, sim`` for each of ``rows(key, embedding)`` and each of the few queries whose cosine is at least ``least``."""
+def alike(rows: DataFrame, queries: DataFrame, least: float = -1.0, keep: int | None = None, dim: int = 64, most_queries: int = 65_536) -> DataFrame:
+    """``key, qid, sim`` for each of ``rows(key, embedding)`` and each of the few queries whose cosine is at least ``least``; with
+    ``keep`` only the ``keep`` best keys of each batch and query (and those equal to the last), all that a list of that length can need."""
     shared = rows.sparkSession.sparkContext.broadcast(_bounded(queries, dim, most_queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,10 +98,16 @@ def alike(rows: DataFrame, queries: DataFrame, least: float, dim: int = 64, most
         ids = np.array(ids, np.int64)
         for batch in batches:
             at, x = usable_rows(batch.column("embedding"), dim)
-            for block in range(0, len(ids) if len(at) else 0, 1024):
-                score = cosines(x, q[block : block + 1024])
-                i, j = np.nonzero(score >= least)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at[i])), pa.array(ids[block + j]), pa.array(score[i, j])], names=["key", "qid", "sim"])
+            key = batch.column("key").take(pa.array(at))
+            once = np.unique(key.to_numpy(zero_copy_only=False).astype(str), return_index=True)[1] if len(at) else at  # a repeated row counts once
+            key, x = key.take(pa.array(once)), x[once]
+            for block in range(0, len(ids) if len(once) else 0, 256):
+                score = cosines(x, q[block : block + 256])
+                hit = score >= least
+                if keep is not None and keep < len(x):
+                    hit &= score >= np.partition(score, -keep, axis=0)[-keep]
+                i, j = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(i)), pa.array(ids[block + j]), pa.array(score[i, j])], names=["key", "qid", "sim"])
 
     key = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "embedding").mapInArrow(run, f"key {key}, qid bigint, sim double")
+    return rows.select("key", "embedding").where("key is not null").mapInArrow(run, f"key {key}, qid bigint, sim double")

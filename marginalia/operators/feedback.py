@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.vectors import alike
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: str, at: str, tolerance: int, prefix: str = "r_", bucket: int | None = None) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, by: str, at: str, tolerance: int, prefix: str = "r_", bucket: int | None = None, salts: int = 8) -> DataFrame:
     """Each left row with the last right row of the same ``by`` whose ``at`` is at most its own and at most
     ``tolerance`` earlier; left rows without one are dropped. Of right rows at the same time the greatest wins,
-    compared column by column. Time is cut into buckets no shorter than the tolerance, and a right row goes to its own
-    and the next, so that a hot key, or no key at all, still spreads over the cluster."""
+    compared column by column: the others are folded away before the shuffle. Time is cut into buckets no shorter than the
+    tolerance, a right row goes to its own and the next, and left rows are spread over ``salts``: so a hot key, or no key
+    at all, is still many small groups, each of a few right rows for each second at most."""
     width = max(bucket or 0, tolerance, 1)
     cut = lambda shift: F.floor(F.col(at) / width).cast("bigint") + shift
-    payload = F.struct(F.col(at).alias(f"{prefix}{at}"), *[F.col(c).alias(f"{prefix}{c}") for c in right.columns if c not in (by, at)])
-    tagged = right.where(F.col(at).isNotNull() & F.col(by).isNotNull()).select(F.col(by), F.col(at), F.lit(0).alias("side"), payload.alias("r"), F.explode(F.array(cut(0), cut(1))).alias("slot"), F.lit(None).cast(left.schema.simpleString()).alias("l"))
-    probes = left.where(F.col(at).isNotNull() & F.col(by).isNotNull()).select(F.col(by), F.col(at), F.lit(1).alias("side"), F.lit(None).cast(tagged.schema["r"].dataType).alias("r"), cut(0).alias("slot"), F.struct(*left.columns).alias("l"))
-    order = Window.partitionBy(by, "slot").orderBy(at, "side", "r").rowsBetween(Window.unboundedPreceding, 0)
+    others = [c for c in right.columns if c not in (by, at)]
+    folded = right.where(F.col(at).isNotNull() & F.col(by).isNotNull()).groupBy(by, at).agg(F.max(F.struct(*others)).alias("p"))
+    payload = F.struct(F.col(at).alias(f"{prefix}{at}"), *[F.col(f"p.{c}").alias(f"{prefix}{c}") for c in others])
+    tagged = folded.select(F.col(by), F.col(at), F.lit(0).alias("side"), payload.alias("r"), F.explode(F.array(cut(0), cut(1))).alias("slot"), F.lit(None).cast(left.schema.simpleString()).alias("l"))
+    tagged = tagged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    probes = left.where(F.col(at).isNotNull() & F.col(by).isNotNull()).select(F.col(by), F.col(at), F.lit(1).alias("side"), F.lit(None).cast(tagged.schema["r"].dataType).alias("r"), cut(0).alias("slot"), F.struct(*left.columns).alias("l"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int").alias("salt"))
+    order = Window.partitionBy(by, "slot", "salt").orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
     paired = tagged.unionByName(probes).withColumn("last", F.last("r", ignorenulls=True).over(order))
     return paired.where((F.col("side") == 1) & F.col("last").isNotNull() & (F.col(at) - F.col(f"last.{prefix}{at}") <= tolerance)).select("l.*", "last.*")
 

@@ -113,9 +113,12 @@ def link_both(notes: DataFrame, a: str, b: str) -> DataFrame:
     return notes.withColumn("content", F.when(F.col("path").isin(a, b), add("path", "content")).otherwise(F.col("content")))
 
 
-def find_note(notes: DataFrame, name: str) -> str:
-    """The one path whose stem has the name's key; an error if there is none or more."""
-    found = [r["path"] for r in notes.where(link_key(stem(F.col("path"))) == key_of(name)).select("path").distinct().orderBy("path").limit(10).collect()]
+def find_note(notes: DataFrame, name: str, project: str | None = None) -> str:
+    """The one path whose stem has the name's key, within a project if one is given; an error if there is none or more."""
+    rows = notes.where(link_key(stem(F.col("path"))) == key_of(name))
+    if project:
+        rows = rows.where(F.startswith("path", F.lit(project + "/")))
+    found = [r["path"] for r in rows.select("path").distinct().orderBy("path").limit(10).collect()]
     if len(found) != 1:
         raise LookupError(f"{name}: {'not found' if not found else 'ambiguous: ' + ', '.join(found)}")
     return found[0]

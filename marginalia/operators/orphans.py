@@ -4,7 +4,7 @@ A reference is met when its target exists early enough: of each link key and eac
 existence matters, so the targets are folded to one row before any join, and a hot key costs no more than its
 references. What isn't met is a direct orphan. Then the fixpoint: whatever refers to a record with an orphan
 reference has inherited one. Each round joins the references that are still sound with the records found in the round
-before, so the work of all rounds together is one pass over the references, and rounds end when nothing is new.
+before and drops what it found, so rounds shrink, and end when nothing is new.
 
 Defined results: null links, keys and paths are no references, an empty link key is no link; a null time of the
 referring record can't be met and gives a null period; a null time of a target never meets; repeated rows count

@@ -16,7 +16,7 @@ from .common import N_SQL, TODAY_DAYS, V_SQL, plain, query_vectors, vectors
 def v02_vec_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of each query vector, by scan."""
     rows = vectors(spark, folder).where("vec_id is not null").select(F.col("vec_id").alias("key"), "embedding")
-    pairs = alike(rows, query_vectors(spark, folder), 0.0).where("key <> qid").distinct()
+    pairs = alike(rows, query_vectors(spark, folder), keep=11).where("key <> qid").distinct()  # ten, and the query itself
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "key"))
     return plain(pairs.withColumn("place", place).where("place <= 10").select("qid", F.col("key").alias("vec_id"), "sim", "place"))
 

@@ -50,10 +50,26 @@ def test_from_writing_to_learning(engine):
     with open(os.path.join(engine.state, "reads.tsv"), "w") as f:
         f.write("1100\tfam/proj/disk-alerts.md\n1101\tx.md\n9000\tfam/proj/disk-alerts.md\n")
     assert engine.learn() == 1 == engine.learn() and engine.teach("limits", "queue-limits", now=2000) == 2
+    assert {r["query"] for r in engine.learned()} == {"how", "limits"} and engine.secrets() == [] and engine.list() == [("fam", "fam/proj", 3)]
     engine.index()
     assert engine.search("limits")[0]["path"] == "fam/proj/queue-limits.md"
 
 
+def test_forgetting_usage_and_ambiguity(engine):
+    os.makedirs(os.path.join(engine.root, "fam/empty"))
+    assert engine.list() == [("fam", "fam/empty", 0), ("fam", "fam/proj", 2)]
+    engine.write("fam/other", "disk-alerts", "The same name elsewhere", "project", "Other text.")
+    with pytest.raises(LookupError, match="ambiguous"):
+        engine.read("disk-alerts")
+    assert "Other text." in engine.read("disk-alerts", project="fam/other")
+    assert engine.teach("full disks", "queue-timeouts", now=86400) == 1 and engine.forget(" full disks ") == 0 == len(engine.learned()) and engine.learn() == 0
+    assert engine.usage()["calls"] == 0
+    for i, ms in enumerate((5, 30, 10, 20)):
+        engine._log("usage.tsv", 1000 + i, "search", f"{ms}ms", "ok")
+    assert engine.usage(now=1002 + 86400) == {"calls": 4, "last_day": 1, "median_ms": 20}
+    assert set(engine.regen("fam/proj")) == {"fam/proj"} and set(engine.regen()) == {"fam/proj", "fam/other"}
+
+
 def test_history_and_serving(engine):
     git = lambda *a: subprocess.run(["git", "-c", "user.name=n", "-c", "user.email=e@x", "-C", engine.root, *a], check=True, capture_output=True)
     git("init", "-q")
