@@ -16,7 +16,7 @@ Texts with equal sets of n-grams are one class and enter the join once; ``pairs`
 class, and only ``near_pairs`` expands them.
 
 Defined results: a null text counts as empty; texts of fewer than n words have no n-gram and are in no pair;
-repeated rows of a key count once (the smallest text is taken if they disagree); empty tables give no rows.
+repeated rows of a key count once (if their texts disagree, the one of the smallest class id); empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -114,9 +114,10 @@ def _verify(threshold: float):
 
 def near_duplicates(texts: DataFrame, threshold: float = 0.8, n: int = 5) -> NearDuplicates:
     """``texts(key, text)``: classes of equal fingerprints and the close pairs between them."""
-    once = texts.select("key", F.coalesce("text", F.lit("")).alias("text")).where("key is not null").groupBy("key").agg(F.min("text").alias("text"))
-    key_type = once.schema["key"].dataType.simpleString()
-    prints = materialize(once.mapInArrow(_fingerprints(n), f"key {key_type}, class_1 bigint, class_2 bigint, bits binary").withColumn("class_id", F.xxhash64("class_1", "class_2")))
+    rows = texts.select("key", F.coalesce("text", F.lit("")).alias("text")).where("key is not null")
+    key_type = rows.schema["key"].dataType.simpleString()
+    prints = materialize(rows.mapInArrow(_fingerprints(n), f"key {key_type}, class_1 bigint, class_2 bigint, bits binary").withColumn("class_id", F.xxhash64("class_1", "class_2")))
+    members = prints.groupBy("key").agg(F.min("class_id").alias("class_id"))  # the texts themselves are never shuffled
     classes = prints.groupBy("class_id").agg(F.max("bits").alias("bits"))
     blocks = classes.mapInArrow(_blocks(threshold), "class_id bigint, block bigint, size int")
     side = lambda s: blocks.select("block", F.col("class_id").alias(f"class_{s}"), F.col("size").alias(f"size_{s}"))
@@ -128,7 +129,7 @@ def near_duplicates(texts: DataFrame, threshold: float = 0.8, n: int = 5) -> Nea
     )
     bits = lambda side: classes.select(F.col("class_id").alias(f"class_{side}"), F.col("bits").alias(f"bits_{side}"))
     pairs = close.join(bits("a"), "class_a").join(bits("b"), "class_b").mapInArrow(_verify(threshold), "class_a bigint, class_b bigint, common bigint, size_a bigint, size_b bigint")
-    return NearDuplicates(prints.select("key", "class_id"), pairs, classes)
+    return NearDuplicates(members, pairs, classes)
 
 
 def near_pairs(found: NearDuplicates) -> DataFrame:
