@@ -15,7 +15,7 @@ Defined results: a source's name is compared in lower case without separators; d
 text, and of sources without a target, are left aside (``aside`` in the report counts the tokens of the
 unknown ones nowhere); a target with a null, zero or negative share or no repeats takes nothing; a document with
 no tokens comes along free; repeated document rows count once (a repeat of a ``doc_id`` with another text too, the
-smallest text counts); ties in finish time go by source, pass and id; empty tables give empty results.
+one with fewest tokens counts); ties in finish time go by source, pass and id; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -47,9 +47,9 @@ def source_key(column: str):
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source (folded), tokens; each document once. Longer texts than a million characters are encoded in
     stretches."""
-    once = documents.select("doc_id", source_key("source").alias("source"), "text").where("doc_id is not null and source is not null and source <> '' and text is not null")
-    once = once.groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("x")).select("doc_id", "x.source", "x.text")
-    return once.mapInArrow(_tokens(vocabulary), "doc_id bigint, source string, tokens bigint")
+    rows = documents.select("doc_id", source_key("source").alias("source"), "text").where("doc_id is not null and source is not null and source <> '' and text is not null")
+    sized = rows.mapInArrow(_tokens(vocabulary), "doc_id bigint, source string, tokens bigint")
+    return sized.groupBy("doc_id").agg(F.min(F.struct("tokens", "source")).alias("x")).select("doc_id", "x.source", "x.tokens")  # counts are shuffled, texts aren't
 
 
 def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY, seed: int = 17, slots_log2: int = 10, ranges: int = 4096) -> DataFrame:
