@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .words import bare_words, each, grams, hash_words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -79,19 +80,24 @@ class Items:
         return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
 
 
-def _count(shared):
+def _holding(shared):
+    """The documents with any n-gram of an item, and which of them, with repeats."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        total = np.zeros(len(items.known), np.int64)
+        known, n = shared.value.known, shared.value.n
         for batch in batches:
             hashed, start = hash_words([bare_words(x) for x in batch.column("text").to_pylist()])
-            g = np.concatenate([np.zeros(0, np.uint64), *[grams(hashed[a:b], items.n) for a, b in each(start)]])
-            at = np.searchsorted(items.known, g)
-            at[at == len(items.known)] = 0
-            total += np.bincount(at[items.known[at] == g], minlength=len(total)) if len(total) else total
-        some = np.flatnonzero(total)
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
+            size = np.diff(start)
+            g = grams(hashed, n)  # over the borders of documents too: those are left out
+            if not len(g) or not len(known):
+                continue
+            doc = np.repeat(np.arange(len(size)), size)
+            at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            hit = np.flatnonzero((known[at] == g) & (doc[: len(g)] == doc[n - 1 :]))
+            if len(hit):
+                docs, first = np.unique(doc[hit], return_index=True)
+                offsets = pa.array(np.append(first, len(hit)).astype(np.int32))
+                take = pa.array(docs)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("text").take(take), pa.ListArray.from_arrays(offsets, pa.array(at[hit].astype(np.int32)))], names=["doc_id", "text", "found"])
 
     return run
 
@@ -145,12 +151,14 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = 5, run: int = 13, mos
     kept = Items([r["item_id"] for r in few], [r["text"] for r in few], n, run)
     shared = spark.sparkContext.broadcast(kept)
     rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    counted = rows.select("text").mapInArrow(_count(shared), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()  # at most one row for each n-gram of the items
+    # The corpus is read once: only documents that hold an n-gram of an item go on, and all counts come from them.
+    rows = materialize(rows.mapInArrow(_holding(shared), "doc_id bigint, text string, found array<int>"))
+    counted = rows.select(F.explode("found").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()  # at most one row for each n-gram of the items
     count = np.zeros(len(kept.known), np.int64)
     for r in counted:
         count[r["gram"]] = r["n"]
     seeds = spark.sparkContext.broadcast(kept.seeds(count))
-    found = rows.mapInArrow(_scan(shared, seeds), "doc_id bigint, item_id bigint, score bigint, longest_run bigint, item_words bigint")
+    found = rows.select("doc_id", "text").mapInArrow(_scan(shared, seeds), "doc_id bigint, item_id bigint, score bigint, longest_run bigint, item_words bigint")
     best = found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max("item_words").alias("item_words"))
     return best.withColumn("share", F.col("score") / (MATCH * F.col("item_words")))
 
