@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def usable_rows(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """The positions of the vectors of ``dim`` finite numbers that aren't all zero, and the numbers in double."""
@@ -46,10 +48,23 @@ def cosine(a, b):
     return F.when(both > 0, dot / both).otherwise(F.lit(0.0))
 
 
-def _bounded(queries: DataFrame, dim: int, most: int) -> tuple[list, np.ndarray]:
-    few = queries.select("qid", "embedding").limit(most + 1).toArrow()
-    if few.num_rows > most:
-        raise ValueError(f"more than {most} query vectors: split them into several calls")
+def in_blocks(queries: DataFrame, most: int, ask: Callable[[DataFrame], DataFrame], key: str = "qid") -> DataFrame:
+    """``ask`` of all queries at once if they are at most ``most``, else of blocks of them by a hash of their key, and the union of
+    the answers: what one block sends to the executors stays bounded however many queries there are."""
+    n = queries.count()
+    if n <= most:
+        return ask(queries)
+    kept, blocks = materialize(queries), -(-n * 5 // (most * 4))  # blocks differ in size: a fifth is left free
+    out = None
+    for i in range(blocks):
+        part = ask(kept.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _gathered(queries: DataFrame, dim: int) -> tuple[list, np.ndarray]:
+    """Ids and numbers of a block of queries."""
+    few = queries.select("qid", "embedding").toArrow()
     at, q = usable_rows(few["embedding"].combine_chunks(), dim) if few.num_rows else (np.zeros(0, int), np.zeros((0, dim)))
     return few["qid"].take(pa.array(at, pa.int64())).to_pylist(), q
 
@@ -57,8 +72,13 @@ def _bounded(queries: DataFrame, dim: int, most: int) -> tuple[list, np.ndarray]
 def score_against(vectors: DataFrame, queries: DataFrame, dim: int = 64, keep: int | None = None, most_queries: int = 65_536) -> DataFrame:
     """``qid, path, ordinal, question_no, score`` of the best vector of each note of a batch for each of
     ``queries(qid, embedding)``; with ``keep`` only of the batch's ``keep`` best notes, which is all that a ranking of that
-    length can need. The queries go to the executors and must be few (checked); the vectors are scanned once."""
-    shared = vectors.sparkSession.sparkContext.broadcast(_bounded(queries, dim, most_queries))
+    length can need. The queries go to the executors in blocks of at most ``most_queries``, and the vectors are scanned once for
+    each block."""
+    return in_blocks(queries, most_queries, lambda block: _score_block(vectors, block, dim, keep))
+
+
+def _score_block(vectors: DataFrame, queries: DataFrame, dim: int, keep: int | None) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast(_gathered(queries, dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
@@ -89,9 +109,13 @@ def score_against(vectors: DataFrame, queries: DataFrame, dim: int = 64, keep: i
 
 
 def alike(rows: DataFrame, queries: DataFrame, least: float = -1.0, keep: int | None = None, dim: int = 64, most_queries: int = 65_536) -> DataFrame:
-    """``key, qid, sim`` for each of ``rows(key, embedding)`` and each of the few queries whose cosine is at least ``least``; with
+    """``key, qid, sim`` for each of ``rows(key, embedding)`` and each query whose cosine is at least ``least``; with
     ``keep`` only the ``keep`` best keys of each batch and query (and those equal to the last), all that a list of that length can need."""
-    shared = rows.sparkSession.sparkContext.broadcast(_bounded(queries, dim, most_queries))
+    return in_blocks(queries, most_queries, lambda block: _alike_block(rows, block, least, keep, dim))
+
+
+def _alike_block(rows: DataFrame, queries: DataFrame, least: float, keep: int | None, dim: int) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(_gathered(queries, dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_chars, strip
+from ..functions.vectors import in_blocks
 
 # File extensions that make a word an identifier.
 EXTENSIONS = ("c", "cfg", "conf", "csv", "go", "html", "java", "js", "json", "md", "py", "rs", "sh", "sql", "toml", "ts", "yaml", "yml")
@@ -39,14 +40,16 @@ def _once(notes: DataFrame) -> DataFrame:
     return notes.where("path is not null").groupBy("path").agg(F.max("body").alias("body"))
 
 
-def _asked(queries: DataFrame, words: Column) -> tuple[DataFrame, list[str]]:
-    """The queries with their words, one row for each word of a query and ``times``, how often the query says it; and
-    the distinct words, which go to every executor and must be few (checked)."""
-    rows = queries.select("qid", F.explode(words).alias("word")).where("word <> ''").groupBy("qid", "word").agg(F.count("*").cast("int").alias("said"))
-    few = [r["word"] for r in rows.select("word").distinct().limit(MOST_WORDS + 1).collect()]
-    if len(few) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} different words: split the queries into several calls")
-    return rows, few
+def _asked(queries: DataFrame, words: Column) -> DataFrame:
+    """One row for each word of a query, and ``said``, how often the query says it."""
+    rows = queries.select("qid", F.explode(words).alias("word")).where("word <> ''")
+    return rows.groupBy("qid", "word").agg(F.count("*").cast("int").alias("said"))
+
+
+def _search(texts: DataFrame, asked: DataFrame, lower: bool = True) -> DataFrame:
+    """``asked`` joined with where its words occur; the distinct words go to the executors in blocks of at most MOST_WORDS."""
+    words = asked.select("word").distinct()
+    return asked.join(in_blocks(words, MOST_WORDS, lambda block: occurring(texts, [r["word"] for r in block.collect()], lower), "word"), "word")
 
 
 def occurring(texts: DataFrame, words: list[str], lower: bool = True) -> DataFrame:
@@ -89,15 +92,13 @@ def occurring(texts: DataFrame, words: list[str], lower: bool = True) -> DataFra
 
 def _hits(notes: DataFrame, queries: DataFrame, words: Column) -> DataFrame:
     """``qid, path, word, said, times, line_no, line`` of the bodies."""
-    asked, few = _asked(queries, words)
-    return asked.join(occurring(_once(notes).select("path", F.col("body").alias("text")), few), "word")
+    return _search(_once(notes).select("path", F.col("body").alias("text")), _asked(queries, words))
 
 
 def lexical_bonus(notes: DataFrame, queries: DataFrame, step: float = 0.04) -> DataFrame:
     """``qid, path, bonus``: the step for each of up to two identifiers of the query that the note holds verbatim."""
-    asked, few = _asked(queries, identifiers(F.col("query")))
     raw = notes.where("path is not null").groupBy("path").agg(F.max(F.concat_ws("\n", F.map_values("fields"), F.col("body"))).alias("text"))
-    hits = asked.join(occurring(raw, few, lower=False), "word").groupBy("qid", "path").agg(F.count("*").alias("n"))
+    hits = _search(raw, _asked(queries, identifiers(F.col("query"))), lower=False).groupBy("qid", "path").agg(F.count("*").alias("n"))
     return hits.where(F.lit(step) > 0).select("qid", "path", (F.least("n", F.lit(2)) * step).alias("bonus"))
 
 

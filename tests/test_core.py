@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import encoder
 from marginalia.functions.text import link_key, links, stem, strip
+from marginalia.functions import vectors as vectors_
 from marginalia.functions.vectors import cosine
 from marginalia.operators import checks, chunking, curation, duplicates, feedback, hot, index, lexical, lifecycle, links as links_, measure, orphans, questions, ranking, secrets
 from marginalia.session import materialize, shared_dir
@@ -185,6 +186,21 @@ def test_search_counts_hidden_before_the_last_shown(spark):
     assert rows(ranking.nearest_active_note(v, q, notes))[0][:2] == (1, "n00") and ranking.nearest_active_note(v, q, notes, threshold=1.1).count() == 0
 
 
+def test_queries_in_blocks_give_the_same(spark, data):
+    v = spark.read.parquet(f"{data}/vectors.parquet")
+    q = v.where("vec_id % 10 = 0").groupBy(F.col("vec_id").alias("qid")).agg(F.max("embedding").alias("embedding"))
+    near = lambda df, c: rows(df.withColumn(c, F.round(c, 9)).distinct())
+    assert near(vectors_.score_against(v, q, most_queries=4), "score") == near(vectors_.score_against(v, q), "score")
+    r = v.select(F.col("vec_id").alias("key"), "embedding")
+    assert near(vectors_.alike(r, q, 0.5, most_queries=3), "sim") == near(vectors_.alike(r, q, 0.5), "sim")
+
+
+def test_occurring(spark):
+    t = spark.createDataFrame([("a", "aaa bb\r\nÀb aaa"), ("b", ""), ("c", None), ("d", "AAAA")], "path string, text string")
+    assert rows(lexical.occurring(t, ["aa", "àb", "none", "aa"])) == [("a", "aa", 2, 1, "aaa bb"), ("a", "àb", 1, 2, "Àb aaa"), ("d", "aa", 2, 1, "AAAA")]
+    assert rows(lexical.occurring(t, ["aa"], lower=False)) == [("a", "aa", 2, 1, "aaa bb")] and lexical.occurring(t, []).count() == 0
+
+
 def test_mmr_prefers_the_unlike(spark):
     v = spark.createDataFrame([("a", 0, None, _unit64(1, 0.3)), ("b", 0, None, _unit64(1, 0.31)), ("c", 0, None, _unit64(1, -0.5))], "path string, ordinal int, question_no int, embedding array<float>")
     q = spark.createDataFrame([(1, _unit64(1))], "qid bigint, embedding array<float>")
