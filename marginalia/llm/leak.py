@@ -11,7 +11,7 @@ verbatim leak if the run reaches ``run``.
 Seeds alone also start alignments for copies whose edits leave one seed in place; a copy with an edit in every
 n-gram isn't found.
 
-Items enter by broadcast and must be few (``most_items``, checked): a test set, not a corpus.
+Items enter by broadcast in blocks of at most ``most_items``, and the corpus is read once for each block.
 
 Defined results: null ids and texts take no part; texts without words give nothing; an item shorter than
 ``run`` words counts only when scored by alignment, never as verbatim; repeated documents count once; equal
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import in_blocks
 from ..session import materialize
 from .words import bare_words, each, grams, hash_words
 
@@ -142,12 +143,15 @@ def _scan(shared, shared_seeds):
 def leaks(documents: DataFrame, items: DataFrame, n: int = 5, run: int = 13, most_items: int = 100_000) -> DataFrame:
     """``doc_id, item_id, score, longest_run, item_words, share``: every document in which a seed of an item was
     aligned. share is the score over the item's best possible one."""
-    spark = documents.sparkSession
-    few = items.select("item_id", "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").limit(most_items + 1).collect()
-    if len(few) > most_items:
-        raise ValueError(f"more than {most_items} items: they are broadcast, split them into several calls")
     if not 0 < n <= run:
         raise ValueError("n must be between 1 and run")
+    few = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    return in_blocks(few, most_items, lambda block: _leaks(documents, block, n, run), "item_id")
+
+
+def _leaks(documents: DataFrame, items: DataFrame, n: int, run: int) -> DataFrame:
+    spark = documents.sparkSession
+    few = items.orderBy("item_id", "text").collect()  # a block of at most most_items
     kept = Items([r["item_id"] for r in few], [r["text"] for r in few], n, run)
     shared = spark.sparkContext.broadcast(kept)
     rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")

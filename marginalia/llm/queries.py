@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import alike
 from ..sources.tables import table
 from .knn import nearest_vectors, neighbour_pairs
 from .leak import leaks, verbatim
@@ -32,6 +33,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(p2_neighbours(spark, folder))
 
 
+def p2_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: of the 5 most similar of every vector whose id is divisible by 100, by a scan of all rows, how many the index found."""
+    rows = table(spark, folder, "vectors")
+    asked = rows.where("vec_id % 100 = 0").groupBy(F.col("vec_id").alias("qid")).agg(F.max("embedding").alias("embedding"))
+    near = alike(rows.select(F.col("vec_id").alias("key"), "embedding"), asked, keep=6).where("key <> qid").distinct()
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "key"))
+    exact = near.withColumn("place", place).where("place <= 5").select(F.col("qid").alias("vec_a"), F.col("key").alias("vec_b"))
+    found = p2_neighbours(spark, folder).select("vec_a", "vec_b", F.lit(True).alias("found"))
+    joined = exact.join(found, ["vec_a", "vec_b"], "left")
+    return joined.agg(F.count("*").alias("wanted"), F.count("found").alias("found"), F.try_divide(F.count("found"), F.count("*")).alias("recall"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return markup_found(table(spark, folder, "notes"))
 
@@ -83,7 +96,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p3_found, p3_clean_notes, p3_clean_chunks, p4_found, p6_found, p6_groups, p7_found, p7_leaks, p8_shares, p8_mixture, p9_found)
+    for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p2_recall, p3_found, p3_clean_notes, p3_clean_chunks, p4_found, p6_found, p6_groups, p7_found, p7_leaks, p8_shares, p8_mixture, p9_found)
 }
 
 SQL = {

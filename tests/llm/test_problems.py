@@ -238,8 +238,9 @@ def test_leaks(spark):
     assert rows(leak.verbatim(found)) == [(1, 1), (1, 4), (2, 1), (2, 4), (4, 1), (4, 4), (5, 1), (5, 4)]
     share = {(r["doc_id"], r["item_id"]): r["share"] for r in found.collect()}
     assert share[1, 1] == 1.0 and 0.9 < share[4, 1] < 1 and leak.leaks(d.limit(0), i).count() == 0 and leak.leaks(d, i.limit(0)).count() == 0
+    assert rows(leak.leaks(d, i, most_items=1)) == rows(found)  # items in blocks
     with pytest.raises(ValueError):
-        leak.leaks(d, i, most_items=1)
+        leak.leaks(d, i, n=14, run=13)
 
 
 def test_alignment_against_plain_dynamic_programming():
