@@ -79,24 +79,21 @@ def fit_cells(sample: np.ndarray, leaf_rows: int) -> np.ndarray:
 def _assign(centres, dim: int, slack: float, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = centres.value
-        half = (c**2).sum(axis=1) / 2
-        top = min(most, len(c))
+        half = ((c**2).sum(axis=1) / 2)[None, :]
         for batch in batches:
             at, x = as_matrix(batch.column("embedding"), dim)
-            if not len(at):
-                continue
-            ids = batch.column("vec_id").take(pa.array(at)).to_numpy(zero_copy_only=False)
-            u = unit(x).astype(np.float32)
-            apart = 1 + 2 * (half - u @ c.T)  # squared distances
-            near = np.argpartition(apart, top - 1, axis=1)[:, :top] if top < len(c) else np.tile(np.arange(len(c)), (len(u), 1))
-            gap = np.take_along_axis(apart, near, axis=1)
-            first = np.argmin(gap, axis=1)
-            least = gap[np.arange(len(u)), first]
-            keep = gap <= np.maximum(least, 1e-6)[:, None] * slack
-            row, col = np.nonzero(keep)
-            home = col == first[row]
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * 4), len(row), [None, pa.py_buffer(np.ascontiguousarray(x[row]))])
-            yield pa.RecordBatch.from_arrays([pa.array(near[row, col].astype(np.int32)), pa.array(home), pa.array(ids[row]), raw.cast(pa.binary())], names=["cell", "asks", "vec_id", "raw"])
+            all_ids = batch.column("vec_id").take(pa.array(at)).to_numpy(zero_copy_only=False)
+            for start in range(0, len(x), 1024):
+                part, ids = x[start : start + 1024], all_ids[start : start + 1024]
+                apart = 1 + 2 * (half - unit(part).astype(np.float32) @ c.T)  # squared distances
+                row, col = np.nonzero(apart <= np.maximum(apart.min(axis=1, keepdims=True), 1e-6) * slack)
+                by = np.lexsort((col, apart[row, col], row))
+                row, col = row[by], col[by]
+                size = np.bincount(row, minlength=len(part))
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                row, col, place = row[place < most], col[place < most], place[place < most]
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * 4), len(row), [None, pa.py_buffer(np.ascontiguousarray(part[row]))])
+                yield pa.RecordBatch.from_arrays([pa.array(col.astype(np.int32)), pa.array(place == 0), pa.array(ids[row]), raw.cast(pa.binary())], names=["cell", "asks", "vec_id", "raw"])
 
     return run
 
@@ -168,7 +165,7 @@ def _answer(dim: int, k: int):
     return run
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, leaf: int = 1500, sample_rows: int = 65_536, slack: float = 1.35, most_cells: int = 4) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, leaf: int = 400, sample_rows: int = 65_536, slack: float = 1.35, most_cells: int = 4) -> DataFrame:
     """``vectors(vec_id, embedding)``: for every usable vector its k most similar others, as
     ``vec_a`` (the one that asks), ``vec_b``, ``score``."""
     spark = vectors.sparkSession
