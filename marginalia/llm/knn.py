@@ -165,7 +165,7 @@ def _answer(dim: int, k: int):
     return run
 
 
-def nearest_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, leaf: int = 400, sample_rows: int = 65_536, slack: float = 1.35, most_cells: int = 4) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, leaf: int = 400, sample_rows: int = 131_072, slack: float = 1.35, most_cells: int = 4) -> DataFrame:
     """``vectors(vec_id, embedding)``: for every usable vector its k most similar others, as
     ``vec_a`` (the one that asks), ``vec_b``, ``score``."""
     spark = vectors.sparkSession
@@ -173,7 +173,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, leaf: int = 4
     n = rows.count()
     share = min(1.0, max(sample_rows, 1) * 0.9 / max(n, 1))
     picked = rows.select("embedding").where(F.rand(SEED) < share) if share < 1 else rows.select("embedding")
-    sample = unit(as_matrix(picked.limit(sample_rows).toArrow()["embedding"], dim)[1]) if n else np.zeros((0, dim))
+    sample = unit(as_matrix(picked.limit(sample_rows).toArrow()["embedding"], dim)[1]).astype(np.float32) if n else np.zeros((0, dim), np.float32)
     centres = fit_cells(np.unique(sample, axis=0), max(1, round(leaf * len(sample) / max(n, 1)))) if len(sample) else np.zeros((1, dim), np.float32)
     shared = spark.sparkContext.broadcast(centres)  # at most sample_rows rows
 
