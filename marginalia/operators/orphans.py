@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import field, link_key, link_target, links, stem
-from ..session import materialize
+from ..session import forget, materialize
 
 COLUMNS = ("ref_table", "ref_field", "ref_key", "target", "period")
 
@@ -76,7 +76,8 @@ def orphans(notes: DataFrame, common: DataFrame, feedback: DataFrame, most_round
             return _union(parts)
         parts.append(step.select(*COLUMNS, F.lit(depth).alias("depth")))
         frontier = step.select("ref_table", "ref_key").distinct()
-        sound = materialize(sound.join(frontier, ["ref_table", "ref_key"], "left_anti"))
+        spent, sound = sound, materialize(sound.join(frontier, ["ref_table", "ref_key"], "left_anti"))
+        forget(spent)
     raise RuntimeError(f"orphans still spread after {most_rounds} rounds")
 
 
