@@ -320,6 +320,21 @@ def test_simhash_blocks_find_all_within_three_bits():
         assert any(not (set(c) & touched) for c in combinations(range(5), 2))
 
 
+def test_links_at_the_similarity_are_found(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(f" w{x}" for x in rng.integers(0, 10**9, n))
+    pairs = [(text, text + word((5, 10, 24)[i % 3])) for i, text in enumerate(word(104) for _ in range(60))]  # 100 shingles; 24 more are 0.806
+    data = [(side * 1000 + i, not side, pair[side]) for i, pair in enumerate(pairs) for side in (0, 1)]
+    named = spark.createDataFrame(data, "class_id bigint, labelled boolean, normal string")
+    hashed = named.mapInArrow(residue._hash(residue.layout(0.8)[0] * residue.WIDTH), "class_id bigint, labelled boolean, size int, mark binary, shingles binary").cache()
+    found = residue._linked(hashed.where("not labelled"), hashed.where("labelled"), 0.8)
+    assert rows(found) == [(1000 + i,) for i in range(60)]
+    # the same from the texts: a labelled form, and one that differs in a sixth of its words (old radius: 3 of 64 bits)
+    lines = [f"{{{{a}}}} q{i} r{i}" for i in range(100)]
+    d = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines) + "\n" + " ".join(f"new{i}" for i in range(30)))], "doc_id bigint, text string")
+    assert rows(residue.residue(d)) == [(1, "rule"), (2, "link")]
+
+
 def test_words():
     assert words_of("Été_2 l'eau-x") == ["été", "2", "l", "eau", "x"] and bare_words("ÉTÉ Straße e\u0301") == ["ete", "strasse", "e"]
     h, s = hash_words([["a", "b", "a"], [], ["b", "a"]])
