@@ -335,6 +335,24 @@ def test_links_at_the_similarity_are_found(spark):
     assert rows(residue.residue(d)) == [(1, "rule"), (2, "link")]
 
 
+def test_unknown_wording_is_reached_from_labelled_texts(spark):
+    form = "\n".join(f"{{{{a}}}} q{i} r{i}" for i in range(60))
+    page = form + "\nThe clerk is out to lunch. Nobody can answer you now. Come round some other day."  # three unknown sentences
+    coded = form + "\n```\nlunch\n```"
+    own = form + "".join(f"\nWe met the clerk at noon for KTL-{i}00 and waited." for i in range(3))  # strong evidence
+    assert [kind(x)[0] for x in (form, page, coded, own)] == ["residue", "unknown", "unknown", "content"]
+    d = spark.createDataFrame([(1, form), (2, page), (3, coded), (4, own)], "doc_id bigint, text string")
+    assert rows(residue.residue(d)) == [(1, "rule"), (2, "link"), (3, "link")]
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("Volanta merisum candolor quetis pravium estola.", "residue"), ("Gralor tumenti vasquis oleum parinda corvita, feltrum.", "residue"),  # in no list of words
+    ("Depot importers retry late orders twice daily.", "unknown"), ("La tabla nueva guarda pocas filas repetidas.", "unknown"), ("Camperum dolentor.", "unknown"),
+])
+def test_filler_in_no_language(text, expected):
+    assert kind(text)[0] == expected
+
+
 def test_words():
     assert words_of("Été_2 l'eau-x") == ["été", "2", "l", "eau", "x"] and bare_words("ÉTÉ Straße e\u0301") == ["ete", "strasse", "e"]
     h, s = hash_words([["a", "b", "a"], [], ["b", "a"]])
