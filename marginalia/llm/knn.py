@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import usable
 from ..session import materialize
 
 SEED = 20240229
@@ -169,7 +170,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, leaf: int = 4
     """``vectors(vec_id, embedding)``: for every usable vector its k most similar others, as
     ``vec_a`` (the one that asks), ``vec_b``, ``score``."""
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & (F.size("embedding") == dim))
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(dim=dim))
     n = rows.count()
     share = min(1.0, max(sample_rows, 1) * 0.9 / max(n, 1))
     picked = rows.select("embedding").where(F.rand(SEED) < share) if share < 1 else rows.select("embedding")

@@ -105,6 +105,14 @@ def test_vectors_with_odd_rows_and_copies(spark):
     assert knn.nearest_vectors(v.limit(0)).count() == 0 and knn.nearest_vectors(v.where("vec_id = 3")).count() == 0
 
 
+def test_unusable_copies_have_no_partners(spark):
+    base = np.random.default_rng(4).standard_normal((12, 64)).astype(np.float32).tolist()
+    bad = [[0.0] * 64, [-0.0] * 64, [float("nan")] + [1.0] * 63, [float("inf")] + [1.0] * 63, [float("-inf")] + [1.0] * 63, [None] + [1.0] * 63]
+    data = [(i, v) for i, v in enumerate(base)] + [(1000 * (j + 1) + i, v) for j, v in enumerate(bad) for i in range(9)]
+    found = rows(knn.nearest_vectors(spark.createDataFrame(data, "vec_id bigint, embedding array<float>")).select("vec_a", "vec_b"))
+    assert len(found) == 12 * 5 and all(a < 12 and b < 12 for a, b in found)
+
+
 def test_recall_on_the_test_vectors(spark, data):
     v = spark.read.parquet(f"{data}/vectors.parquet")
     t = v.select("vec_id", "embedding").distinct().toArrow()
