@@ -15,8 +15,9 @@ templates share too many of them, and the candidates grow with the square of the
 Texts with equal sets of n-grams are one class and enter the join once; ``pairs`` are between classes, ``members`` names each text's
 class, and only ``near_pairs`` expands them.
 
-Defined results: a null text counts as empty; texts of fewer than n words have no n-gram and are in no pair;
-repeated rows of a key count once (if their texts disagree, the one of the smallest class id); empty tables give no rows.
+Defined results: a null text counts as empty; texts of fewer than n words have no n-gram and are in no pair, but
+``members`` has them too, in one class for each sequence of words (one for no words); repeated rows of a key count once (if
+their texts disagree, the one of the smallest class id, of those with n-grams if any); empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -34,28 +35,30 @@ from .words import MIX, each, grams, hash_words, words_of
 
 SHARED, LEAST_SHARED = 13.1, 3
 SEED = 20240311
+NO_WORDS = np.array([0x6E6F6E65], np.uint64)
 
 
 class NearDuplicates(NamedTuple):
     members: DataFrame  # key, class_id
     pairs: DataFrame  # class_a < class_b, common, size_a, size_b
-    classes: DataFrame  # class_id, bits (all of them)
+    classes: DataFrame  # class_id, bits (all of them with an n-gram)
 
 
 def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashed, start = hash_words([words_of(x) for x in batch.column("text").to_pylist()])
-            sets = [np.unique(grams(hashed[a:b], n)) for a, b in each(start)]
-            keep = np.flatnonzero([len(x) > 0 for x in sets])
-            if not len(keep):
+            if not batch.num_rows:
                 continue
-            sets = [sets[i] for i in keep]
+            hashed, start = hash_words([words_of(x) for x in batch.column("text").to_pylist()])
+            # a text of fewer than n words stands for its whole sequence of words; the complement keeps its class apart from those of n-grams
+            short = np.diff(start) < n
+            sets = [np.unique(grams(hashed[a:b], n)) if b - a >= n else grams(hashed[a:b], b - a) if b > a else NO_WORDS for a, b in each(start)]
             with np.errstate(over="ignore"):
                 of_all = np.array([np.bitwise_xor.reduce(x * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(len(x)) for x in sets])
                 second = np.array([np.sum((x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)) for x in sets])
-            raw = pa.array([x.tobytes() for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keep)), pa.array(of_all.view(np.int64)), pa.array(second.view(np.int64)), raw], names=["key", "class_1", "class_2", "bits"])
+                of_all[short] = ~of_all[short]
+            raw = pa.array([None if s else x.tobytes() for x, s in zip(sets, short)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(of_all.view(np.int64)), pa.array(second.view(np.int64)), raw], names=["key", "class_1", "class_2", "bits"])
 
     return run
 
@@ -117,8 +120,8 @@ def near_duplicates(texts: DataFrame, threshold: float = 0.8, n: int = 5) -> Nea
     rows = texts.select("key", F.coalesce("text", F.lit("")).alias("text")).where("key is not null")
     key_type = rows.schema["key"].dataType.simpleString()
     prints = materialize(rows.mapInArrow(_fingerprints(n), f"key {key_type}, class_1 bigint, class_2 bigint, bits binary").withColumn("class_id", F.xxhash64("class_1", "class_2")))
-    members = prints.groupBy("key").agg(F.min("class_id").alias("class_id"))  # the texts themselves are never shuffled
-    classes = prints.groupBy("class_id").agg(F.max("bits").alias("bits"))
+    members = prints.groupBy("key").agg(F.min(F.struct(F.col("bits").isNull().alias("short"), "class_id"))["class_id"].alias("class_id"))  # the texts themselves are never shuffled
+    classes = prints.where("bits is not null").groupBy("class_id").agg(F.max("bits").alias("bits"))
     blocks = classes.mapInArrow(_blocks(threshold), "class_id bigint, block bigint, size int")
     side = lambda s: blocks.select("block", F.col("class_id").alias(f"class_{s}"), F.col("size").alias(f"size_{s}"))
     close = (

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from marginalia.llm import knn, leak, markup, mix, neardup, residue, split
+from marginalia.llm import knn, leak, markup, mix, neardup, queries, residue, split
 from marginalia.llm.nearest_time import LineIndex, nearest_in_time
 from marginalia.llm.residue_rules import kind
 from marginalia.llm.words import bare_words, grams, hash_words, words_of
@@ -230,6 +230,20 @@ def test_near_duplicates_against_brute_force(spark, threshold, n):
     assert neardup.near_pairs(neardup.near_duplicates(df.limit(0), threshold, n)).count() == 0
 
 
+def test_short_texts_have_classes_of_their_own(spark, monkeypatch):
+    long = "one two three four five six seven"
+    texts = [(1, "Zugriff verweigert."), (2, "zugriff, VERWEIGERT"), (3, "verweigert Zugriff"), (4, None), (5, ""), (6, "--"), (7, long), (8, long + "!"), (9, "one two three four"), (10, "a b c d e")]
+    d = spark.createDataFrame(texts, "doc_id bigint, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: d)
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in queries.p6_groups(spark, "").collect()}
+    assert sorted(got) == list(range(1, 11)) and all(links == 0 for _, links in got.values())
+    kinds = [(1, 2), (3,), (4, 5, 6), (7, 8), (9,), (10,)]
+    assert [len({got[i][0] for i in k}) for k in kinds] == [1] * 6 and len({c for c, _ in got.values()}) == 6
+    found = neardup.near_duplicates(d.withColumnRenamed("doc_id", "key"))
+    assert rows(neardup.near_pairs(found)) == [(7, 8)]  # short texts are in no pair
+
+
+
 # 7: leaks
 
 
