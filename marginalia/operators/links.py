@@ -27,15 +27,12 @@ def dangling(notes: DataFrame) -> DataFrame:
 
 
 def homonyms(notes: DataFrame) -> DataFrame:
-    """A finding for each name that several notes bear, on the first of them. The paths of one name are gathered: names
-    are identifiers, and a name that very many notes share is reported with its first 100 paths and the count."""
+    """A finding for each name that several notes bear, on the first of them, with all the others. The message lists every path,
+    so the paths of one name come together in one row."""
     named = notes.select("path", field("name").alias("name")).where("path is not null and name is not null").distinct()
-    counted = named.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-    from pyspark.sql import Window
-
-    firsts = named.join(counted, "name").withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy(F.split("path", "/")))).where("k <= 100")
-    listed = firsts.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "path"))), lambda s: s["path"]).alias("paths"), F.first("n").alias("n"))
-    return listed.select(F.col("paths")[0].alias("path"), F.concat(F.lit("name also borne by "), F.array_join(F.slice("paths", 2, 99), ", "), F.when(F.col("n") > 100, F.format_string(" and %d more", F.col("n") - 100)).otherwise("")).alias("message"))
+    listed = named.groupBy("name").agg(F.sort_array(F.collect_list(F.split("path", "/"))).alias("parts")).where(F.size("parts") > 1)
+    paths = listed.select(F.transform("parts", lambda p: F.array_join(p, "/")).alias("paths"))
+    return paths.select(F.col("paths")[0].alias("path"), F.concat(F.lit("name also borne by "), F.array_join(F.expr("slice(paths, 2, size(paths))"), ", ")).alias("message"))
 
 
 def citing(notes: DataFrame) -> DataFrame:

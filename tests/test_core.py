@@ -255,6 +255,13 @@ def test_findings(spark):
     assert [r[0] for r in rows(checks.outdated_pins(pins, {"tool": "1.2.9"}))] == ["b"]
 
 
+def test_homonyms_are_all_named(spark):
+    paths = [f"f/p{i}/{j}.md" for i in range(20) for j in range(13)]
+    n = make(spark, *((p, {"name": "hot"}, "") for p in paths), ("f/p/lone.md", {"name": "lone"}, ""))
+    first, *others = sorted(paths, key=lambda p: p.split("/"))
+    assert rows(links_.homonyms(n)) == [(first, "name also borne by " + ", ".join(others))]
+
+
 def test_siblings_and_resolve(spark):
     n = make(spark, ("f/common/c.md", {}, ""), ("f/a/x.md", {"name": "Deep Thought"}, ""), ("f/b/y.md", {}, ""), ("g/a/z.md", {}, ""))
     assert rows(links_.common_siblings(n)) == [("f/a", "f/common/c.md"), ("f/b", "f/common/c.md")]
