@@ -5,8 +5,9 @@ library's parser then gives the HTML events (known tags, comments, character ref
 text is searched for wiki and LaTeX constructs by patterns that ask for the construct's own syntax, so that
 prices, comparisons, paths and ``R&D`` stay prose. The same events give each line's ratio of text to tags; a
 Gaussian smooths the ratios along the lines, and a threshold found by splitting them in two clusters marks
-the lines of the lower cluster. Such lines are dropped only where they carry links or layout and nothing
-that holds meaning: headings, list items, table cells, code and formulas always stay.
+the lines of the lower cluster. Such lines are dropped where they carry links or layout and nothing
+that holds meaning: no words, or mostly words inside ``nav``, ``footer`` or ``menu``, or nearly only words of two or more
+links; headings, list items, table cells, code and formulas always stay. Elements that are never closed count for nothing.
 
 Defined results: a null text gives a null clean text and no families; an empty one an empty text; open tags,
 fences and environments end with the text; repeated rows give repeated rows; other columns stay as they are.
@@ -15,6 +16,7 @@ fences and environments end with the text; repeated rows give repeated rows; oth
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from html.entities import html5
@@ -103,11 +105,15 @@ class _Events(HTMLParser):
     """Text with HTML taken out, the spots where it was, and the number of tags on each line of the result."""
 
     BLOCKS = frozenset("p div section article header footer main aside nav table thead tbody tfoot tr ul ol dl dd dt blockquote form figure pre center h1 h2 h3 h4 h5 h6 hr address fieldset".split())
+    LAYOUT = frozenset(("nav", "footer", "menu"))
+    GUARDED = frozenset("li td th dt dd h1 h2 h3 h4 h5 h6 pre code".split())
 
     def __init__(self, keep):
         super().__init__(convert_charrefs=False)
         self.out: list[str] = []
         self.tags, self.line, self.seen, self.lists, self.keep, self.pre, self.skip, self.cells = {}, 0, False, [], keep, None, 0, 0
+        self.spans: list[tuple[str, Counter]] = []  # open links and layout, and their characters of words on each line
+        self.linked, self.links, self.laid, self.guarded = Counter(), Counter(), Counter(), set()
 
     def put(self, text: str) -> None:
         if self.skip:
@@ -116,8 +122,23 @@ class _Events(HTMLParser):
             self.pre.append(text)
             return
         self.out.append(text)
+        if self.spans:
+            for i, part in enumerate(text.split("\n")):
+                if n := len(re.findall(r"\w", part)):
+                    for _, on in self.spans:
+                        on[self.line + i] += n
         self.line += text.count("\n")
 
+    def open_span(self, tag: str) -> None:
+        if tag == "a" or tag in self.LAYOUT:
+            self.spans = [x for x in self.spans if x[0] != tag] + [(tag, Counter())]  # neither nests in its like
+
+    def close_span(self, tag: str) -> None:
+        for x in [x for x in self.spans if x[0] == tag]:
+            self.spans.remove(x)
+            (self.linked if tag == "a" else self.laid).update(x[1])
+            self.links.update(x[1].keys() if tag == "a" else ())
+
     def mark(self) -> None:
         self.seen = True
         self.tags[self.line] = self.tags.get(self.line, 0) + 1
@@ -159,6 +180,9 @@ class _Events(HTMLParser):
             self.cells = 0 if tag == "tr" else self.cells
             self.newline(1 if tag in ("tr", "dd", "dt") else 2 if tag == "p" else 1)
         self.tags[self.line] = self.tags.get(self.line, 0)
+        if tag in self.GUARDED:
+            self.guarded.add(self.line)
+        self.open_span(tag)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -169,6 +193,9 @@ class _Events(HTMLParser):
         if tag not in ELEMENTS:
             return self.put(f"</{tag}>")
         self.mark()
+        self.close_span(tag)
+        if tag in self.GUARDED:
+            self.guarded.add(self.line)
         if tag in ("script", "style"):
             self.skip = max(0, self.skip - 1)
         elif tag == "pre" and self.pre is not None:
@@ -225,9 +252,9 @@ class _Events(HTMLParser):
             self.put(self.keep("```\n" + code + "\n```"))
 
 
-def _html(text: str, keep) -> tuple[str, dict[int, int], bool]:
+def _html(text: str, keep) -> tuple[str, _Events | None]:
     if "<" not in text and "&" not in text:
-        return text, {}, False
+        return text, None
     # A "<" that opens no known tag or comment, and a "&" that opens no reference, are prose: hidden from the parser.
     prose = {"<": "\ue002", "&": "\ue003"}
 
@@ -246,7 +273,7 @@ def _html(text: str, keep) -> tuple[str, dict[int, int], bool]:
     events.starts = [0]
     events.feed("".join(pieces))
     events.close_all()
-    return "".join(events.out).replace("\ue002", "<").replace("\ue003", "&"), events.tags, events.seen
+    return "".join(events.out).replace("\ue002", "<").replace("\ue003", "&"), events
 
 
 def _table(m: re.Match) -> str:
@@ -302,9 +329,12 @@ def _latex(text: str, keep) -> tuple[str, bool]:
     return text, seen
 
 
-def select_regions(text: str, tags: dict[int, int]) -> str:
+STRUCTURE = re.compile(r"[ \t]*(?:#{1,6}[ \t]|[-*+][ \t]|\d+[.)][ \t]|\||>|={2,6}[^=])")
+
+
+def select_regions(text: str, events: _Events) -> str:
     """Drops the lines that smoothing and clustering of text-to-tag ratios give to layout, keeping structure."""
-    lines = text.split("\n")
+    lines, tags = text.split("\n"), events.tags
     if sum(tags.values()) < 3 or len(lines) < 3:
         return text
     ratio = np.array([len(x.strip()) / max(1, tags.get(i, 0)) for i, x in enumerate(lines)])
@@ -319,8 +349,11 @@ def select_regions(text: str, tags: dict[int, int]) -> str:
     cut = (low + high) / 2
     out = []
     for i, x in enumerate(lines):
-        bare = x.strip()
-        layout = tags.get(i, 0) >= 2 and smooth[i] <= cut and bare and not re.search(r"\w", HELD.sub("x", bare))
+        words = len(re.findall(r"\w", x))
+        guarded = i in events.guarded or HELD.search(x) or STRUCTURE.match(x)
+        moved = not guarded and (2 * events.laid[i] > words or events.links[i] > 1 and events.linked[i] >= 0.8 * words)
+        empty = tags.get(i, 0) >= 2 and not words and not HELD.search(x)
+        layout = x.strip() and smooth[i] <= cut and (moved if words else empty)
         if not layout:
             out.append(x)
     return "\n".join(out)
@@ -335,8 +368,10 @@ def read(text: str) -> tuple[str, list[str]]:
         return f"{HOLD}{len(parts) - 1}{HOLD_END}"
 
     formulas, latex = _latex_formulas(rest, keep)
-    plain, tags, html = _html(formulas, keep)
-    plain = select_regions(plain, tags)
+    plain, events = _html(formulas, keep)
+    html = events is not None and events.seen
+    if html:
+        plain = select_regions(plain, events)
     plain, wiki = _wiki(plain)
     plain, commands = _latex(plain, keep)
     families = [name for name, on in (("html", html), ("wiki", wiki), ("latex", latex or commands)) if on]

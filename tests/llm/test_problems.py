@@ -159,6 +159,19 @@ def test_markup(text, families, clean):
         assert got == text
 
 
+def test_navigation_and_footer_lines_go():
+    prose = "<p>The depot importer keeps late rows for three days, after which the ledger team removes them by hand.</p>\n"
+    bar = '<div><a href="/">Home</a> | <a href="/s">Search</a> | <a href="/h">Help pages</a></div>\n'
+    foot = "<footer>Example wiki, all rights reserved</footer>\n"
+    kept = '<ul><li><a href="/x">First</a> <a href="/y">item</a></li></ul>\n<h2><a href="/t">Top</a> <a href="/u">ics</a></h2>\n<table><tr><td><a href="/c">cell</a> <a href="/d">two</a></td></tr></table>\n'
+    clean = markup.read(bar + prose * 3 + kept + prose + foot)[0]
+    assert "Home" not in clean and "Help" not in clean and "rights" not in clean and clean.count("The depot importer") == 4
+    assert "First item" in clean and "## Top ics" in clean and "cell two" in clean
+    one = '<p><a href="/g">Read the guide of the ledger team</a></p>\n'  # a single link may be all a paragraph has
+    assert "Read the guide" in markup.read(prose * 3 + one + prose)[0]
+    assert markup.read("<nav>" + prose * 3)[0].count("The depot importer") == 3  # never closed
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("<>/&;'={}|[]$\\~`#\n abipx\r-!_.", max_size=80))
 def test_markup_never_fails_and_keeps_plain_text(text):
