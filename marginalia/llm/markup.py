@@ -68,8 +68,8 @@ WIKI = {
 }
 _command = "(?:" + "|".join(sorted(COMMANDS, key=len, reverse=True)) + ")"
 LATEX = {
-    "display": re.compile(r"(?<!\\)\$\$(?=[^$]*[\\^_={}])(?:[^$])+?\$\$|\\\[(?:(?!\\\]).){1,2000}?\\\]", re.S),
-    "inline": re.compile(r"\\\((?:(?!\\\)).){1,500}?\\\)|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_={}])[^$\n]{1,300}?(?<=[^\s$\\])\$(?![\d$])", re.S),
+    "display": re.compile(r"(?<!\\)\$\$(?=[^$]*[\\^_={}])(?:[^$])+?\$\$|(?<!\\)\\\[(?:\\\\|(?!\\[\]\[]|\n[ \t]*\n).)+\\\]", re.S),
+    "inline": re.compile(r"(?<!\\)\\\((?:\\\\|(?!\\[()]|\n[ \t]*\n).)+\\\)|(?<![\\$\w])\$(?=[^\s$])(?=[^$\n]*[\\^_={}])[^$\n]+(?<=[^\s$\\])\$(?![\d$])", re.S),
     "environment": re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?"),
     "command": re.compile(rf"(?<!\\)\\[A-Za-z]{{2,}}\*?(?=\{{)|(?<![\\\w:.])\\{_command}\b\*?"),
 }
@@ -321,8 +321,9 @@ def _latex(text: str, keep) -> tuple[str, bool]:
         text = re.sub(r"^([ \t]*)\\item(?:\[([^\]\n]*)\])?[ \t]*", lambda m: m[1] + "- " + (m[2] + " " if m[2] else ""), text, flags=re.M)
         text = re.sub(r"[~ ]?\\(?:cite|ref|label|eqref|citep|citet)\*?(?:\[[^\]\n]*\])*\{[^{}]*\}", "", text)
         text = re.sub(r"\\footnote\{((?:[^{}]|\{[^{}]*\})*)\}", r" (\1)", text)
-        for _ in range(3):  # nested arguments, from the inside
-            text = re.sub(r"(?<!\\)\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
+        n = 1
+        while n:  # nested arguments, from the inside; every round takes commands away
+            text, n = re.subn(r"(?<!\\)\\[A-Za-z]{2,}\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", r"\1", text)
         text = re.sub(rf"(?<![\\\w:.])\\{_command}\b[ \t]?", "", text)
         text = re.sub(r"[ \t]*\\\\[ \t]*(?=\n|$|\S)", "\n", text)
         text = re.sub(r"^([^\n|]*\S)[ \t]+&[ \t]+([^\n]*)$", lambda m: "| " + re.sub(r"[ \t]*&[ \t]*", " | ", m[0]).strip() + " |", text, flags=re.M)

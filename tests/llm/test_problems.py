@@ -172,6 +172,25 @@ def test_navigation_and_footer_lines_go():
     assert markup.read("<nav>" + prose * 3)[0].count("The depot importer") == 3  # never closed
 
 
+@pytest.mark.parametrize(("start", "end"), [("\\[", "\\]"), ("\\(", "\\)"), ("$", "$")])
+def test_long_formulas_stay(start, end):
+    formula = start + " + ".join(["\\frac{a}{b}"] * 400).strip() + end
+    text = f"so {formula} holds\n\n\\emph{{x}}"
+    assert markup.read(text) == (f"so {formula} holds\n\nx", ["latex"])
+    assert markup.read(f"so {start}a_1 + " + "b + " * 400 + f"c{end} holds") == (f"so {start}a_1 + " + "b + " * 400 + f"c{end} holds", ["latex"])
+    apart = f"cost {start}a_1\n\n\\emph{{y}} b{end} end"  # no formula beyond a blank line
+    assert "\\emph" not in markup.read(apart)[0]
+
+
+def test_formulas_with_line_breaks_stay():
+    text = r"so \[ a \\[2pt] \frac{b}{c} \] holds"
+    assert markup.read(text) == (text, ["latex"])
+
+
+def test_deep_arguments_leave_nothing():
+    assert markup.read("\\emph{" * 9 + "x" + "}" * 9)[0] == "x"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("<>/&;'={}|[]$\\~`#\n abipx\r-!_.", max_size=80))
 def test_markup_never_fails_and_keeps_plain_text(text):
