@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import in_blocks
 from ..session import materialize
-from .words import bare_words, each, grams, hash_words
+from .words import each, grams, hashed_words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -60,7 +60,7 @@ class Items:
     """The items' words, and which n-grams of theirs are seeds."""
 
     def __init__(self, ids: list[int], texts: list[str], n: int, run: int):
-        hashed, start = hash_words([bare_words(x) for x in texts])
+        hashed, start = hashed_words(texts, bare=True)
         self.ids, self.n, self.run = np.array(ids, np.int64), n, run
         self.words = [hashed[a:b] for a, b in each(start)]
         self.grams = [grams(w, n) for w in self.words]
@@ -86,7 +86,7 @@ def _holding(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = shared.value.known, shared.value.n
         for batch in batches:
-            hashed, start = hash_words([bare_words(x) for x in batch.column("text").to_pylist()])
+            hashed, start = hashed_words(batch.column("text").to_pylist(), bare=True)
             size = np.diff(start)
             g = grams(hashed, n)  # over the borders of documents too: those are left out
             if not len(g) or not len(known):
@@ -107,7 +107,7 @@ def _scan(shared, shared_seeds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, (seed, item_of, place_of) = shared.value, shared_seeds.value
         for batch in batches:
-            hashed, start = hash_words([bare_words(x) for x in batch.column("text").to_pylist()])
+            hashed, start = hashed_words(batch.column("text").to_pylist(), bare=True)
             out = []
             for row, (a, b) in enumerate(each(start)):
                 words = hashed[a:b]

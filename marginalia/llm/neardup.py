@@ -1,19 +1,22 @@
 """Groups of texts that share most of their word n-grams, by pigeonhole blocks (problem 6).
 
 The fingerprint of a text is a row of slots, each the smallest of its n-grams' hashes under one hash function; two texts
-with a Jaccard similarity t agree in about a share t of their slots. The slots are cut into blocks of ``rows``
-each, so many that a pair at the threshold shares ``SHARED`` (13.1) blocks on average: by the pigeonhole principle two fingerprints that
-differ in no more than all but three blocks share three. Blocks are joined on, and pairs that share at least three are
-candidates. At the threshold a pair passes with probability 0.9998, above it with more (0.99999 at 0.55 for 0.5).
-Candidates are verified exactly: the bit vectors of their n-grams must lie within the Hamming distance that is
-equal to the similarity asked for, (1 - t) / (1 + t) times the sum of their sizes.
+with a Jaccard similarity t agree in about a share t of their slots. The slots are cut into blocks of ``rows`` each: were the
+slots that differ spread as evenly as can be, texts close enough would by the pigeonhole principle keep two blocks whole. The slots that differ lie at random, so
+that is a matter of chance, and the number of blocks is set so that a pair exactly at the threshold keeps ``LEAST_SHARED`` blocks with
+probability 1 - ``MISSED``, a closer one with more. Blocks are joined on. With each block goes one bit of every slot, and pairs whose bits
+lie further apart than ``SIGMAS`` deviations of what the threshold gives don't count. Candidates are read again and verified exactly: the bit vectors of
+their n-grams must lie within the Hamming distance that is equal to the similarity asked for, (1 - t) / (1 + t) times the sum of their sizes.
+
+``exact=True`` leaves nothing to chance: n-grams are ordered from the rarest, and of n-grams in an order that both share, two texts
+at the threshold have one in common among the first ``size - ceil(t * size) + 1`` of each. It costs more, the more so the more texts share their rarest n-grams.
 
 (A 64-bit SimHash with fixed blocks can't do this at t = 0.5: close pairs then differ in some 17 to 25 bits, so blocks
-of two or three bits would be left, which nearly all pairs share. Blocks of single rare n-grams lose nothing, but texts of few
-templates share too many of them, and the candidates grow with the square of the texts.)
+of two or three bits would be left, which nearly all pairs share. That is why the fingerprints are of minimum hashes.)
 
 Texts with equal sets of n-grams are one class and enter the join once; ``pairs`` are between classes, ``members`` names each text's
-class, and only ``near_pairs`` expands them.
+class, and only ``near_pairs`` expands them. No n-grams are kept: texts are read twice, the second time only those of candidates.
+A block of more than ``most_in_block`` classes is cut into parts, and every two parts meet in a task of their own.
 
 Defined results: a null text counts as empty; texts of fewer than n words have no n-gram and are in no pair, but
 ``members`` has them too, in one class for each sequence of words (one for no words); repeated rows of a key count once (if
@@ -27,87 +30,125 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .words import MIX, each, grams, hash_words, words_of
+from ..session import materialize, partitions_for
+from .words import MIX, each, gram_sets, grams, hashed_words
 
-SHARED, LEAST_SHARED = 13.1, 3
+LEAST_SHARED, MISSED, SIGMAS = 2, 0.0002, 4.5
 SEED = 20240311
-NO_WORDS = np.array([0x6E6F6E65], np.uint64)
+NO_WORDS = np.uint64(0x6E6F6E65)
+#: The most bits of slots that go with a block.
+MARKS = 256
+#: A row of a block: the block, a class, its size and its slots' bits.
+ROW = np.dtype([("block", "<i8"), ("id", "<i8"), ("size", "<i4"), ("marks", "<u8", MARKS // 64)])
 
 
 class NearDuplicates(NamedTuple):
     members: DataFrame  # key, class_id
     pairs: DataFrame  # class_a < class_b, common, size_a, size_b
-    classes: DataFrame  # class_id, bits (all of them with an n-gram)
+    classes: DataFrame  # class_id (all of them with an n-gram)
+
+
+def layout(threshold: float) -> tuple[int, int, int]:
+    """Slots in a block, blocks, and how many of the slots' bits may differ."""
+    rows = int(np.clip(round(1.8 / -np.log(min(threshold, 0.99))), 1, 12))
+    p, count = threshold**rows, LEAST_SHARED
+    while (1 - p) ** count + count * p * (1 - p) ** (count - 1) > MISSED:  # none or one of the blocks is whole
+        count += 1
+    bits = min(rows * count, MARKS)
+    apart = (1 - threshold) / 2
+    return rows, count, int(np.ceil(bits * apart + SIGMAS * np.sqrt(bits * apart * (1 - apart))))
+
+
+def class_hashes(words: np.ndarray, start: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram sets and where each begins, and two hashes of each text's set. A text of fewer than n words stands for its whole
+    sequence of words, and its hashes are inverted."""
+    sets, edge = gram_sets(words, start, n)
+    short = np.flatnonzero(edge[1:] == edge[:-1])
+    whole = [grams(words[start[i] : start[i + 1]], int(start[i + 1] - start[i]))[0] if start[i + 1] > start[i] else NO_WORDS for i in short.tolist()]
+    with np.errstate(over="ignore"):
+        one, two = sets * np.uint64(0xD6E8FEB86659FD93), (sets ^ (sets >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        total = lambda x: np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)])[edge])
+        first, second = (total(one ^ (one >> np.uint64(29))) ^ np.diff(edge).astype(np.uint64)) * MIX, total(two)
+        for i, x in zip(short.tolist(), whole):
+            first[i], second[i] = ~(x * np.uint64(0xD6E8FEB86659FD93)), x
+    return sets, edge, first.view(np.int64), second.view(np.int64)
+
 
+def slots_of(sets: np.ndarray, edge: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """A row for each set that isn't empty: the least of its hashes under each function."""
+    x = (sets >> np.uint64(32)).astype(np.uint32)
+    edge = edge[np.concatenate([[True], np.diff(edge) > 0])]
+    out = np.empty((len(factors), len(edge) - 1), np.uint32)
+    at = 0
+    while at < len(edge) - 1:  # as many sets at a time as the processor's cache holds
+        end = max(at + 1, int(np.searchsorted(edge, edge[at] + 32_768)) - 1)
+        part, first = x[edge[at] : edge[end]], edge[at:end] - edge[at]
+        hashed = np.empty_like(part)
+        for j, f in enumerate(factors):
+            np.multiply(part, f, out=hashed)
+            out[j, at:end] = np.minimum.reduceat(hashed, first)
+        at = end
+    return out.T
+
+
+def _fingerprints(n: int, threshold: float):
+    rows, count, _ = layout(threshold)
 
-def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(SEED)
+        factors = rng.integers(0, 2**31, rows * count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            hashed, start = hash_words([words_of(x) for x in batch.column("text").to_pylist()])
-            # a text of fewer than n words stands for its whole sequence of words; the complement keeps its class apart from those of n-grams
-            short = np.diff(start) < n
-            sets = [np.unique(grams(hashed[a:b], n)) if b - a >= n else grams(hashed[a:b], b - a) if b > a else NO_WORDS for a, b in each(start)]
+            sets, edge, first, second = class_hashes(*hashed_words(batch.column("text").to_pylist()), n)
+            size = np.diff(edge)
+            slots = slots_of(sets, edge, factors)
             with np.errstate(over="ignore"):
-                of_all = np.array([np.bitwise_xor.reduce(x * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(len(x)) for x in sets])
-                second = np.array([np.sum((x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)) for x in sets])
-                of_all[short] = ~of_all[short]
-            raw = pa.array([None if s else x.tobytes() for x, s in zip(sets, short)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(of_all.view(np.int64)), pa.array(second.view(np.int64)), raw], names=["key", "class_1", "class_2", "bits"])
+                block = np.zeros((len(slots), count), np.uint64)
+                for i in range(rows):
+                    block = (block ^ slots[:, i::rows]) * MIX
+                    block ^= block >> np.uint64(31)
+                bits = np.zeros((len(slots), MARKS), bool)
+                some = slots[:, : bits.shape[1]] * np.uint32(0x9E3779B1)
+                bits[:, : some.shape[1]] = some >> np.uint32(31)
+            raw = np.concatenate([np.packbits(bits, axis=1), (block >> np.uint64(32)).astype(np.uint32).view(np.uint8).reshape(len(slots), 4 * count)], axis=1)
+            to = np.where(size > 0, np.cumsum(size > 0) - 1, -1)
+            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1]), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
+            columns = [batch.column("key"), pa.array(first), pa.array(second), pa.array(size.astype(np.int32)), packed.take(pa.array(to, mask=to < 0))]  # null for a text without n-grams
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "class_1", "class_2", "size", "print"])
 
     return run
 
 
-def layout(threshold: float) -> tuple[int, int]:
-    """Slots in a block, and blocks."""
-    rows = int(np.clip(round(2 / (1 - min(threshold, 0.9))), 4, 8))
-    return rows, int(np.ceil(SHARED / threshold**rows))
-
+def _sets(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, edge, first, second = class_hashes(*hashed_words(batch.column("text").to_pylist()), n)
+            packed = pa.array([x[a:b].tobytes() for x in (sets.view(np.uint8).reshape(-1, 8)[:, BYTES],) for a, b in each(edge)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array(first), pa.array(second), packed], names=["class_id", "class_1", "class_2", "bits"])
 
-def blocks_of(bits: np.ndarray, factors: np.ndarray, offsets: np.ndarray, rows: int) -> np.ndarray:
-    """The block keys of one fingerprint."""
-    x = (bits >> np.uint64(32)).astype(np.uint32)
-    slots = np.full(len(factors), 0xFFFFFFFF, np.uint32)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(x), 4096):
-            slots = np.minimum(slots, (x[at : at + 4096, None] * factors + offsets).min(axis=0))
-        parts = slots.reshape(-1, rows).astype(np.uint64)
-        key = np.arange(len(parts), dtype=np.uint64) * MIX
-        for i in range(rows):
-            key = (key ^ parts[:, i]) * MIX
-            key ^= key >> np.uint64(31)
-    return key
+    return run
 
 
-def _blocks(threshold: float):
-    rows, count = layout(threshold)
+#: The octets of a hash that are kept to verify: 40 bits.
+BYTES = slice(3, 8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(SEED)
-        factors = rng.integers(0, 2**31, rows * count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        offsets = rng.integers(0, 2**32, rows * count, dtype=np.uint32)
-        for batch in batches:
-            ids, raw = batch.column("class_id").to_numpy(), batch.column("bits").to_pylist()
-            for at in range(0, len(raw), 256):
-                part = [np.frombuffer(x, np.uint64) for x in raw[at : at + 256]]
-                keys = np.concatenate([blocks_of(x, factors, offsets, rows) for x in part])
-                sizes = np.array([len(x) for x in part], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 256], count)), pa.array(keys.view(np.int64)), pa.array(np.repeat(sizes, count))], names=["class_id", "block", "size"])
 
-    return run
+def _unpack(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
 
 
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())]
-            common = np.array(common, np.int64)
-            a, b = (np.array([len(x) // 8 for x in batch.column(c).to_pylist()], np.int64) for c in ("bits_a", "bits_b"))
+            a, b = ([_unpack(x) for x in batch.column(c).to_pylist()] for c in ("bits_a", "bits_b"))
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], np.int64)
+            a, b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
             distance = a + b - 2 * common  # Hamming
             ok = pa.array(distance <= (1 - threshold) / (1 + threshold) * (a + b) + 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("class_a").filter(ok), batch.column("class_b").filter(ok), pa.array(common).filter(ok), pa.array(a).filter(ok), pa.array(b).filter(ok)], names=["class_a", "class_b", "common", "size_a", "size_b"])
@@ -115,24 +156,164 @@ def _verify(threshold: float):
     return run
 
 
-def near_duplicates(texts: DataFrame, threshold: float = 0.8, n: int = 5) -> NearDuplicates:
+def _class_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("id", F.xxhash64("class_1", "class_2")).drop("class_1", "class_2")
+
+
+def _rows(batch: pa.RecordBatch, count: int) -> np.ndarray:
+    """The rows of the blocks of classes."""
+    raw = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    out = np.empty((batch.num_rows, count), ROW)
+    out["block"] = (np.arange(count, dtype=np.int64) << 32) + np.ascontiguousarray(raw[:, MARKS // 8 :]).view(np.uint32)
+    out["id"], out["size"] = batch.column("class_id").to_numpy()[:, None], batch.column("size").to_numpy()[:, None]
+    out["marks"] = np.ascontiguousarray(raw[:, : MARKS // 8]).view(np.uint64)[:, None, :]
+    return out.ravel()
+
+
+def _deal(count: int, parts: int):
+    """The rows of the blocks, packed by the part of all blocks that they belong to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                rows = _rows(whole.slice(at, 4096), count)
+                part = ((rows["block"].view(np.uint64) * MIX) >> np.uint64(33)).astype(np.int64) % parts
+                order = np.argsort(part, kind="stable")
+                edge = np.flatnonzero(np.diff(part[order], prepend=-1))
+                raw = [rows[order[a:b]].tobytes() for a, b in zip(edge, [*edge[1:], len(order)])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[order[edge]].astype(np.int32)), pa.array(raw, pa.binary())], names=["part", "rows"])
+
+    return run
+
+
+def _explode(count: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                rows = _rows(whole.slice(at, 1024), count)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["block"].copy()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["block", "row"])
+
+    return run
+
+
+MET = "class_a bigint, class_b bigint, block bigint, members bigint"
+
+
+def _meet(rows: np.ndarray, threshold: float, most: int, half: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Pairs of one block of at most ``most`` rows whose bits are near, each a row; of a larger block only its name and size. With ``half``,
+    only pairs across the halves of a block."""
+    names, apart = [x.split()[0] for x in MET.split(", ")], layout(threshold)[2]
+    order = np.argsort(rows["block"])
+    block = rows["block"][order]
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(block) != 0, [True]]))
+    members = np.diff(edge)
+    large = np.flatnonzero(members > most)
+    if len(large):
+        none = pa.nulls(len(large), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(block[edge[large]]), pa.array(members[large])], names=names)
+    some = (members > 1) & (members <= most)
+    order, members = order[np.repeat(some, members)], members[some]
+    rows = rows[order]
+    half = half[order] if half is not None else None
+    ids, size, marks = (np.ascontiguousarray(rows[c]) for c in ("id", "size", "marks"))
+    later = np.repeat(np.cumsum(members), members) - np.arange(len(rows)) - 1  # rows of the same block behind each
+    at, step = np.flatnonzero(later), 1
+    while len(at):
+        for first in range(0, len(at), 1 << 17):
+            i = at[first : first + (1 << 17)]
+            j = i + step
+            near = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+            if half is not None:
+                near &= half[i] != half[j]
+            i, j = i[near], j[near]
+            near = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int32) <= apart
+            i, j = ids[i[near]], ids[j[near]]
+            if len(i):
+                none = pa.nulls(len(i), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), none, none], names=names)
+        step += 1
+        at = at[later[at] >= step]
+
+
+def _parts(threshold: float, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = [np.frombuffer(x, ROW) for batch in batches for x in batch.column("rows").to_pylist()]
+        if raw:
+            yield from _meet(np.concatenate(raw), threshold, most)
+
+    return run
+
+
+def _cells(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = [b for b in batches if b.num_rows]
+        if whole:
+            rows = np.concatenate([np.frombuffer(b"".join(b.column("row").to_pylist()), ROW) for b in whole])
+            cell, half, across = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in whole]) for c in ("cell", "half", "across"))
+            rows["block"] = cell
+            yield from _meet(rows[~across], threshold, len(rows))
+            yield from _meet(rows[across], threshold, len(rows), half[across])
+
+    return run
+
+
+def _sharing(classes: DataFrame, threshold: float, rows: int, most: int) -> DataFrame:
+    """``class_a, class_b`` of the candidates, by blocks; ``rows`` is at least the number of classes."""
+    spark, count = classes.sparkSession, layout(threshold)[1]
+    parts = partitions_for(spark, rows * count, 1_500_000)  # what a worker holds at once
+    dealt = classes.mapInArrow(_deal(count, parts), "part int, rows binary").repartitionById(parts, "part")
+    met = materialize(dealt.mapInArrow(_parts(threshold, most), MET))
+    large = met.where("members is not null").select("block", (F.ceil(F.col("members") * 3 / most)).cast("int").alias("cells"), "members")
+    if not large.isEmpty():  # every two parts of such a block meet in a cell of their own
+        apart = F.pmod(F.xxhash64("row", F.lit(SEED)), F.col("cells")).cast("int")
+        split = classes.mapInArrow(_explode(count), "block bigint, row binary").join(large, "block").withColumn("half", apart).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        split = split.select(F.xxhash64("block", F.least("half", "other"), F.greatest("half", "other")).alias("cell"), "half", (F.col("half") != F.col("other")).alias("across"), "row")
+        parts = partitions_for(spark, large.agg(F.sum(F.col("members") * F.col("cells"))).first()[0], 1_500_000)
+        met = met.where("members is null").unionByName(split.repartition(parts, "cell").mapInArrow(_cells(threshold), MET))
+    return met.groupBy("class_a", "class_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED).select("class_a", "class_b")
+
+
+def _meeting(sets: DataFrame, threshold: float) -> DataFrame:
+    """The same by the rarest n-grams, for ``sets(class_id, bits)``; loses nothing."""
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                x = [_unpack(r) for r in batch.column("bits").slice(at, 256).to_pylist()]
+                size = np.array([len(r) for r in x], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("class_id").slice(at, 256).to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(x).view(np.int64))], names=["class_id", "size", "gram"])
+
+    one = materialize(sets.mapInArrow(spread, "class_id bigint, size bigint, gram bigint"))
+    often = one.groupBy("gram").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy("n", "gram"))
+    first = one.join(often, "gram").withColumn("place", place).where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1) & (F.col("n") > 1))
+    side = lambda s: first.select("gram", F.col("class_id").alias(f"class_{s}"), F.col("size").alias(f"size_{s}"))
+    sizes = F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9
+    return side("a").join(side("b"), "gram").where((F.col("class_a") < F.col("class_b")) & sizes).select("class_a", "class_b").distinct()
+
+
+def near_duplicates(texts: DataFrame, threshold: float = 0.8, n: int = 5, exact: bool = False, most_in_block: int = 4096) -> NearDuplicates:
     """``texts(key, text)``: classes of equal fingerprints and the close pairs between them."""
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be above 0 and at most 1")
     rows = texts.select("key", F.coalesce("text", F.lit("")).alias("text")).where("key is not null")
     key_type = rows.schema["key"].dataType.simpleString()
-    prints = materialize(rows.mapInArrow(_fingerprints(n), f"key {key_type}, class_1 bigint, class_2 bigint, bits binary").withColumn("class_id", F.xxhash64("class_1", "class_2")))
-    members = prints.groupBy("key").agg(F.min(F.struct(F.col("bits").isNull().alias("short"), "class_id"))["class_id"].alias("class_id"))  # the texts themselves are never shuffled
-    classes = prints.where("bits is not null").groupBy("class_id").agg(F.max("bits").alias("bits"))
-    blocks = classes.mapInArrow(_blocks(threshold), "class_id bigint, block bigint, size int")
-    side = lambda s: blocks.select("block", F.col("class_id").alias(f"class_{s}"), F.col("size").alias(f"size_{s}"))
-    close = (
-        side("a").join(side("b"), "block")
-        .where((F.col("class_a") < F.col("class_b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b") - 1e-9))
-        .groupBy("class_a", "class_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED)
-        .select("class_a", "class_b")
-    )
-    bits = lambda side: classes.select(F.col("class_id").alias(f"class_{side}"), F.col("bits").alias(f"bits_{side}"))
+    prints = materialize(_class_id(rows.mapInArrow(_fingerprints(n, threshold), f"key {key_type}, class_1 bigint, class_2 bigint, size int, print binary")).withColumnRenamed("id", "class_id"))
+    members = prints.groupBy("key").agg(F.min(F.struct((F.col("size") == 0).alias("short"), "class_id"))["class_id"].alias("class_id"))  # the texts themselves are never shuffled
+    full = prints.where("size > 0")
+    if exact:
+        need = full.groupBy("class_id").agg(F.min("key").alias("key"))
+    else:
+        # copies fold before the shuffle: all rows of a class are alike
+        classes = full.groupBy("class_id").agg(F.first("size").alias("size"), F.first("print").alias("print"))
+        close = materialize(_sharing(classes, threshold, prints.count(), most_in_block))
+        need = close.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
+        need = full.select("class_id", "key").join(need, "class_id", "left_semi").groupBy("class_id").agg(F.min("key").alias("key"))
+    sets = _class_id(rows.join(materialize(need), "key").mapInArrow(_sets(n), "class_id bigint, class_1 bigint, class_2 bigint, bits binary")).where("id = class_id").groupBy("class_id").agg(F.max("bits").alias("bits"))
+    if exact:
+        sets = materialize(sets)
+        close = _meeting(sets, threshold)
+    bits = lambda s: sets.select(F.col("class_id").alias(f"class_{s}"), F.col("bits").alias(f"bits_{s}"))
     pairs = close.join(bits("a"), "class_a").join(bits("b"), "class_b").mapInArrow(_verify(threshold), "class_a bigint, class_b bigint, common bigint, size_a bigint, size_b bigint")
-    return NearDuplicates(members, pairs, classes)
+    return NearDuplicates(members, pairs, full.select("class_id").distinct())
 
 
 def near_pairs(found: NearDuplicates) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import knn, leak, markup, mix, neardup, queries, residue, split
 from marginalia.llm.nearest_time import LineIndex, nearest_in_time
 from marginalia.llm.residue_rules import kind
-from marginalia.llm.words import bare_words, grams, hash_words, words_of
+from marginalia.llm.words import WORD, bare_words, each, gram_sets, grams, hashed_words, words_of
 
 
 def rows(df):
@@ -242,8 +242,9 @@ def jaccard_pairs(texts, t, n):
     return {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12}
 
 
-@pytest.mark.parametrize(("threshold", "n"), [(0.5, 3), (0.8, 5)])
-def test_near_duplicates_against_brute_force(spark, threshold, n):
+@pytest.mark.parametrize(("threshold", "n", "exact", "most"), [(0.5, 3, False, 4096), (0.8, 5, False, 4096), (0.5, 3, True, 4096), (0.5, 3, False, 3)])
+def test_near_duplicates_against_brute_force(spark, threshold, n, exact, most):
+    """Also the exact way, and with blocks of more than three classes cut into parts."""
     rng = np.random.default_rng(4)
     texts = {}
     for g in range(40):
@@ -256,10 +257,10 @@ def test_near_duplicates_against_brute_force(spark, threshold, n):
     texts |= {"copy1": "same words here again and again", "copy2": "Same words, here: again and again!", "short": "two words", "empty": ""}
     data = [*texts.items(), ("null", None), (None, "x y z"), ("copy1", texts["copy1"])]
     df = spark.createDataFrame(data, "key string, text string").withColumn("class_id", F.lit("clash")).withColumn("bits", F.lit(0))
-    got = rows(neardup.near_pairs(neardup.near_duplicates(df, threshold, n)))
+    got = rows(neardup.near_pairs(neardup.near_duplicates(df, threshold, n, exact, most)))
     want = jaccard_pairs(texts, threshold, n)
     assert len(got) == len(set(got)) and set(got) == want and ("copy1", "copy2") in want
-    assert neardup.near_pairs(neardup.near_duplicates(df.limit(0), threshold, n)).count() == 0
+    assert neardup.near_pairs(neardup.near_duplicates(df.limit(0), threshold, n, exact, most)).count() == 0
 
 
 def test_short_texts_have_classes_of_their_own(spark, monkeypatch):
@@ -292,11 +293,27 @@ def test_leaks(spark):
     assert rows(leak.verbatim(found)) == [(1, 1), (1, 4), (2, 1), (2, 4), (4, 1), (4, 4), (5, 1), (5, 4)]
     share = {(r["doc_id"], r["item_id"]): r["share"] for r in found.collect()}
     assert share[1, 1] == 1.0 and 0.9 < share[4, 1] < 1 and leak.leaks(d.limit(0), i).count() == 0 and leak.leaks(d, i.limit(0)).count() == 0
-    assert rows(leak.leaks(d, i, most_items=1)) == rows(found)  # items in blocks
+    assert rows(leak.leaks(d, i, most_chars=120)) == rows(found)  # items in blocks
     with pytest.raises(ValueError):
         leak.leaks(d, i, n=14, run=13)
 
 
+def test_seeds_are_the_rarest_of_every_window():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, n)) for n in (0, 3, 5, 11, 13, 14, 60, 60)]
+    items = leak.Items(np.arange(len(texts)), texts, 5, 13)
+    count = rng.integers(0, 4, len(items.known))
+    want = set()
+    for item, g in enumerate(items.grams):
+        seen = count[np.searchsorted(items.known, g)]
+        width = min(9, len(g))
+        for at in range(len(g) - width + 1 if len(g) else 0):
+            place = min(range(at, at + width), key=lambda i: (seen[i], g[i]))
+            want.add((int(g[place]), item, place))
+    got = list(zip(*(x.tolist() for x in items.seeds(count))))
+    assert got == sorted(want)
+
+
 def test_alignment_against_plain_dynamic_programming():
     rng = np.random.default_rng(5)
     for _ in range(30):
@@ -409,5 +426,21 @@ def test_filler_in_no_language(text, expected):
 
 def test_words():
     assert words_of("Été_2 l'eau-x") == ["été", "2", "l", "eau", "x"] and bare_words("ÉTÉ Straße e\u0301") == ["ete", "strasse", "e"]
-    h, s = hash_words([["a", "b", "a"], [], ["b", "a"]])
-    assert s.tolist() == [0, 3, 3, 5] and h[0] == h[2] == h[4] and len(grams(h, 6)) == 0 and grams(h[:2], 2)[0] != grams(h[1:3], 2)[0]
+    h, s = hashed_words(["a B a", None, "--", "b, a"])
+    assert s.tolist() == [0, 3, 3, 3, 5] and h[0] == h[2] == h[4] and h[1] == h[3] and len(grams(h, 6)) == 0 and grams(h[:2], 2)[0] != grams(h[1:3], 2)[0]
+    sets, edge = gram_sets(h, s, 2)
+    assert edge.tolist() == [0, 2, 2, 2, 3] and set(sets[:2].tolist()) == {int(grams(h[:2], 2)[0]), int(grams(h[1:3], 2)[0])} and sets[2] == grams(h[3:], 2)[0]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.one_of(st.sampled_from("abÀé\u0301ßİΣσς \n-_x1²Ⅷ日a̧"), st.characters(codec="utf-8")), max_size=40)), max_size=8), st.booleans())
+def test_hashes_are_those_of_the_words(texts, bare):
+    h, s = hashed_words(texts, bare)
+    seen = {}
+    for x, (a, b) in zip(texts, each(s), strict=True):
+        words = bare_words(x) if bare else ["".join(c.lower() if len(c.lower()) == 1 else c for c in w) for w in WORD.findall(x or "")]
+        assert len(words) == b - a
+        for w, v in zip(words, h[a:b].tolist()):
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in w)
+            assert seen.setdefault(low, v) == v
+    assert len(set(seen.values())) == len(seen)
