@@ -8,10 +8,11 @@ scores edited copies too. From the alignment come its score, the share of the it
 longest run of equal consecutive words; ``leaks`` keeps every aligned pair with its figures, and a pair is a
 verbatim leak if the run reaches ``run``.
 
-Seeds alone also start alignments for copies whose edits leave one seed in place; a copy with an edit in every
-n-gram isn't found.
+An edited copy without ``run`` equal words in a row is aligned only if it keeps a seed: one of the rarest n-grams of the item's windows, whatever
+other n-grams it keeps. ``README.md`` has the measured share of copies found.
 
-Items enter by broadcast in blocks of at most ``most_items``, and the corpus is read once for each block.
+Items enter by broadcast in blocks of at most ``most_chars`` characters (a longer item is a block of its own), and the corpus is read once
+for each block.
 
 Defined results: null ids and texts take no part; texts without words give nothing; an item shorter than
 ``run`` words counts only when scored by alignment, never as verbatim; repeated documents count once; equal
@@ -27,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import in_blocks
 from ..session import materialize
 from .words import each, grams, hashed_words
 
@@ -59,7 +59,7 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 class Items:
     """The items' words, and which n-grams of theirs are seeds."""
 
-    def __init__(self, ids: list[int], texts: list[str], n: int, run: int):
+    def __init__(self, ids: np.ndarray, texts: list[str], n: int, run: int):
         hashed, start = hashed_words(texts, bare=True)
         self.ids, self.n, self.run = np.array(ids, np.int64), n, run
         self.words = [hashed[a:b] for a, b in each(start)]
@@ -67,18 +67,18 @@ class Items:
         self.known = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
 
     def seeds(self, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(gram, item, place) of the rarest n-gram of every window; count goes by ``known``."""
-        out = set()
-        for item, g in enumerate(self.grams):
-            if not len(g):
-                continue
-            seen = count[np.searchsorted(self.known, g)]
+        """(gram, item, place) of the rarest n-gram of every window, sorted by gram; count goes by ``known``."""
+        order = np.empty(len(self.known), np.int64)
+        order[np.lexsort((self.known, count))] = np.arange(len(self.known))  # equal counts go by the n-gram
+        places = []
+        for g in self.grams:
             width = min(self.run - self.n + 1, len(g))
-            for at in range(len(g) - width + 1):
-                place = at + min(range(width), key=lambda i: (seen[at + i], g[at + i]))
-                out.add((int(g[place]), item, place))
-        rows = sorted(out)
-        return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+            windows = np.lib.stride_tricks.sliding_window_view(order[np.searchsorted(self.known, g)], width) if width else np.zeros((0, 1), np.int64)
+            places.append(np.unique(windows.argmin(axis=1) + np.arange(len(windows))))
+        item, place = np.repeat(np.arange(len(places)), [len(x) for x in places]), np.concatenate([np.zeros(0, np.int64), *places])
+        gram = np.concatenate([np.zeros(0, np.uint64), *(g[x] for g, x in zip(self.grams, places))])
+        by = np.lexsort((place, item, gram))
+        return gram[by], item[by], place[by]
 
 
 def _holding(shared):
@@ -140,27 +140,34 @@ def _scan(shared, shared_seeds):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, n: int = 5, run: int = 13, most_items: int = 100_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, n: int = 5, run: int = 13, most_chars: int = 20_000_000) -> DataFrame:
     """``doc_id, item_id, score, longest_run, item_words, share``: every document in which a seed of an item was
     aligned. share is the score over the item's best possible one."""
     if not 0 < n <= run:
         raise ValueError("n must be between 1 and run")
     few = items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
-    return in_blocks(few, most_items, lambda block: _leaks(documents, block, n, run), "item_id")
+    size = few.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    if size <= most_chars:
+        return _leaks(documents, few, n, run)
+    few, blocks, out = materialize(few), -(-size * 5 // (most_chars * 4)), None  # blocks differ in size: a fifth is left free
+    for i in range(blocks):
+        part = _leaks(documents, few.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i), n, run)
+        out = part if out is None else out.unionByName(part)
+    # an item of several texts may have been in several blocks
+    return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "longest_run", "item_words", "share")])
 
 
 def _leaks(documents: DataFrame, items: DataFrame, n: int, run: int) -> DataFrame:
     spark = documents.sparkSession
-    few = items.orderBy("item_id", "text").collect()  # a block of at most most_items
-    kept = Items([r["item_id"] for r in few], [r["text"] for r in few], n, run)
+    few = items.orderBy("item_id", "text").toArrow()  # a block of at most most_chars characters, or one item
+    kept = Items(few["item_id"].to_numpy(), few["text"].to_pylist(), n, run)
     shared = spark.sparkContext.broadcast(kept)
     rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     # The corpus is read once: only documents that hold an n-gram of an item go on, and all counts come from them.
     rows = materialize(rows.mapInArrow(_holding(shared), "doc_id bigint, text string, found array<int>"))
-    counted = rows.select(F.explode("found").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).collect()  # at most one row for each n-gram of the items
+    counted = rows.select(F.explode("found").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).toArrow()  # two numbers for each n-gram of the block
     count = np.zeros(len(kept.known), np.int64)
-    for r in counted:
-        count[r["gram"]] = r["n"]
+    count[counted["gram"].to_numpy()] = counted["n"].to_numpy()
     seeds = spark.sparkContext.broadcast(kept.seeds(count))
     found = rows.select("doc_id", "text").mapInArrow(_scan(shared, seeds), "doc_id bigint, item_id bigint, score bigint, longest_run bigint, item_words bigint")
     best = found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("longest_run").alias("longest_run"), F.max("item_words").alias("item_words"))
