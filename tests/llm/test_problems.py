@@ -89,6 +89,30 @@ def test_collision_counting_against_brute_force():
     assert len(set(zip(a.tolist(), b.tolist())) & exact(spread, np.arange(200), 5)) / 1000 > 0.9
 
 
+def exact_neighbours(x, queries, k=5):
+    u = knn.unit(x)
+    score = u[queries] @ u.T
+    score[np.arange(len(queries)), queries] = -3
+    return {(int(q), int(b)) for q, r in zip(queries, np.argsort(-score, axis=1, kind="stable")[:, :k]) for b in r}
+
+
+def test_a_cell_of_near_copies_is_answered_exactly():
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal(64) + 1e-3 * rng.standard_normal((2500, 64))).astype(np.float32)
+    a, b, _ = knn.collide(np.arange(2500), x, np.arange(2500), 5)
+    queries = np.arange(0, 2500, 25)
+    assert len(a) == 5 * 2500 and exact_neighbours(x, queries) <= set(zip(a.tolist(), b.tolist()))
+
+
+def test_a_large_cell_is_cut_into_cells():
+    rng = np.random.default_rng(4)
+    x = (np.repeat(rng.standard_normal((150, 64)), 20, axis=0) + 0.2 * rng.standard_normal((3000, 64))).astype(np.float32)
+    a, b, _ = (np.concatenate(c) for c in zip(*knn.answer_cell(np.arange(0, 3000, 2), x, np.arange(3000), 5, 300, 1.35, 4, 1000)))
+    want = exact_neighbours(x, np.arange(0, 3000, 30))
+    assert len(a) == 5 * 1500 and set(a.tolist()) == set(range(0, 3000, 2))
+    assert len(want & set(zip(a.tolist(), b.tolist()))) >= 0.95 * len(want)
+
+
 def test_vectors_with_odd_rows_and_copies(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 64)).astype(np.float32).tolist()
