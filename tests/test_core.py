@@ -282,13 +282,15 @@ def test_hot_index(spark):
     n = make(spark, *many, ("f/p/keep.md", {"name": "keep", "type": "feedback"}, ""), ("f/p/old.md", {"name": "old", "status": "archived"}, ""), ("f/common/c.md", {"name": "c", "type": "reference"}, ""))
     r = {x["project"]: x for x in hot.compaction(hot.lines(n)).collect()}
     assert r["f/p"]["bytes"] <= hot.LIMIT < r["f/p"]["full_bytes"] and r["f/common"]["left_out"] == 0
-    lines = [len(f"- [n{i:03d}](n{i:03d}.md): {'d' * 150}") + 1 for i in range(200)]
-    full, gone, k = r["f/p"]["full_bytes"], 0, 0
-    while full - gone + (len(f"{k} older project notes left out") + 1 if k else 0) > hot.LIMIT:
-        gone, k = gone + lines[k], k + 1
-    assert r["f/p"]["left_out"] == k
-    text = {x["project"]: x["text"] for x in hot.render(n).collect()}["f/p"]
-    assert "[keep]" in text and "## Common\n- [c]" in text and f"{k} older project notes left out" in text and text.endswith("<!-- 1 archived -->\n") and text.index("## Feedback") < text.index("## Project")
+    texts = {x["project"]: x["text"] for x in hot.render(n).collect()}
+    assert {p: len(t.encode()) for p, t in texts.items()} == {p: x["bytes"] for p, x in r.items()}
+    k, text = r["f/p"]["left_out"], texts["f/p"]
+    line = len(f"- [n000](n000.md): {'d' * 150}") + 1
+    assert r["f/p"]["full_bytes"] == r["f/p"]["bytes"] + k * line - len(f"- {k} older project notes left out of the hot index, search finds them") - 1 and r["f/p"]["bytes"] + line > hot.LIMIT
+    assert "[keep](keep.md)" in text and "## Shared by f\n\n- [c](../common/c.md)" in text and f"- {k} older project notes left out" in text and "(n000.md)" not in text
+    assert text.startswith("# Memory index, f/p\n\n## Ways of working\n\n- [keep]") and "1 archived note(s)" in text.splitlines()[-1] and texts["f/common"] == "# Memory index, f/common\n\n## Durable knowledge\n\n- [c](c.md)\n"
+    few = make(spark, ("f/p/old.md", {"status": "archived"}, ""), ("f/p/sub/x.md", {"type": "odd", "description": " d "}, ""))
+    assert hot.render(few).first()["text"] == "# Memory index, f/p\n\n## odd\n\n- [x](sub/x.md): d\n\n<!-- 1 archived note(s), outside the index, reachable by a search of the archives -->\n"
     assert hot.render(make(spark)).count() == 0
 
 
