@@ -114,10 +114,11 @@ class Engine:
 
     def answer(self, query: str, n: int = 5, max_chars: int = 4000, now: int | None = None) -> list[dict]:
         """Passages within a budget. The search is logged with the five best notes before archived ones are passed over."""
-        vectors, q = self.vectors(), self._query(query)
-        best = ranking.rank_notes(vectors, q, 5, dim=self.header["dim"]).orderBy("place").collect()
+        vectors, q, all_notes = self.vectors(), self._query(query), materialize(self.notes())
+        bonus = materialize(self._bonus(q, vectors, all_notes))
+        best = ranking.rank_notes(vectors, q, 5, bonus, dim=self.header["dim"]).orderBy("place").collect()
         self._log("searches.tsv", now or int(time.time()), query, ",".join(r["path"] for r in best))
-        return [r.asDict() for r in ranking.answer(vectors, q, self.notes(), self.chunks(), n, max_chars).orderBy("place").collect()]
+        return [r.asDict() for r in ranking.answer(vectors, q, all_notes, self.chunks(), n, max_chars, bonus=bonus).orderBy("place").collect()]
 
     def context(self, topic: str) -> str:
         return "\n".join(f"## {p['name'] or p['path']} ({p['path']}, {p['score']:.3f})\n\n{p['text']}\n" for p in self.answer(topic))

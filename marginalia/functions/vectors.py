@@ -82,6 +82,7 @@ def _score_block(vectors: DataFrame, queries: DataFrame, dim: int, keep: int | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        ids = np.array(ids, np.int64)
         for batch in batches:
             at, x = usable_rows(batch.column("embedding"), dim)
             if not len(at) or not len(ids):
@@ -92,17 +93,19 @@ def _score_block(vectors: DataFrame, queries: DataFrame, dim: int, keep: int | N
             order = np.lexsort((question, ordinal, code))
             start = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0]))
             size = np.diff(np.append(start, len(order)))
-            places = np.arange(len(order))
             for block in range(0, len(ids), 256):
                 score = cosines(x[order], q[block : block + 256])
                 best = np.maximum.reduceat(score, start, axis=0)
-                for j in range(score.shape[1]):
-                    notes = np.arange(len(start))
-                    if keep is not None and keep < len(notes):
-                        notes = np.flatnonzero(best[:, j] >= np.partition(best[:, j], -keep)[-keep])
-                    first = np.minimum.reduceat(np.where(score[:, j] == np.repeat(best[:, j], size), places, len(order)), start)[notes]
-                    take = pa.array(order[first])
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[block + j]] * len(first), pa.int64()), rows.column("path").take(take), rows.column("ordinal").take(take), rows.column("question_no").take(take), pa.array(score[first, j])], names=["qid", "path", "ordinal", "question_no", "score"])
+                hit = np.ones(best.shape, bool)
+                if keep is not None and keep < len(start):
+                    hit = best >= np.partition(best, -keep, axis=0)[-keep]
+                j, note = np.nonzero(hit.T)
+                # of each note's rows the first with the best score
+                edge = np.cumsum(size[note]) - size[note]
+                at = np.arange(int(size[note].sum())) - np.repeat(edge - start[note], size[note])
+                first = np.minimum.reduceat(np.where(score[at, np.repeat(j, size[note])] == np.repeat(best[note, j], size[note]), at, len(order)), edge)
+                take = pa.array(order[first])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[block + j]), rows.column("path").take(take), rows.column("ordinal").take(take), rows.column("question_no").take(take), pa.array(score[first, j])], names=["qid", "path", "ordinal", "question_no", "score"])
 
     kept = vectors.select("path", "ordinal", "question_no", "embedding").where("path is not null")
     return kept.mapInArrow(run, "qid bigint, path string, ordinal int, question_no int, score double")

@@ -60,7 +60,7 @@ def pairs_report(table: DataFrame, today: int) -> DataFrame:
 def learned_bonus(table: DataFrame, vectors_of: DataFrame, queries: DataFrame, today: int, skip_own: bool = False) -> DataFrame:
     """``qid, path, bonus`` for ``queries(qid, query, embedding)`` from the pairs whose query is alike (cosine 0.85 or more):
     each adds 0.03 by likeness, by count up to three and by age, together at most 0.05. ``vectors_of(query, embedding)`` holds the pairs' vectors;
-    ``skip_own`` leaves out pairs with the very same text. The queries are few (checked)."""
+    ``skip_own`` leaves out pairs with the very same text. The queries go to the executors in blocks."""
     near = alike(vectors_of.select(F.col("query").alias("key"), "embedding"), queries, 0.85).withColumnRenamed("key", "query")
     if skip_own:
         near = near.join(queries.select("qid", "query"), ["qid", "query"], "left_anti")

@@ -13,17 +13,17 @@ from ..functions.text import first_chars, strip
 from ..functions.vectors import in_blocks
 
 # File extensions that make a word an identifier.
-EXTENSIONS = ("c", "cfg", "conf", "csv", "go", "html", "java", "js", "json", "md", "py", "rs", "sh", "sql", "toml", "ts", "yaml", "yml")
+EXTENSIONS = ("md", "sh", "rs", "php", "dart", "json", "yml", "yaml", "toml", "sql", "py", "ts", "js")
 MOST_WORDS = 1_000_000
 
 
 def identifiers(query: Column) -> Column:
     """Words of a query that look like names of things: tickets, snake_case, file names, camelCase, letters with digits."""
-    words = F.split(query, r"""[\s,;()«»"'?!:]+""")
+    words = F.split(query, r"""(?U)[\s,;()«»"'?!:]+""")
     trimmed = F.transform(words, lambda w: F.when(w.rlike(r"\.(md|sh)$"), w).otherwise(F.regexp_replace(w, r"^\.+|\.+$", "")))
-    ok = lambda w: (F.char_length(w) >= 3) & (
-        w.rlike(r"^[A-Z]{2,}-[0-9]+$") | w.contains("_") | w.rlike(rf"\.({'|'.join(EXTENSIONS)})$") | (w.rlike(r"^[\p{L}\p{N}]+$") & w.rlike(r"[a-z][A-Z]")) | (w.rlike("[0-9]") & w.rlike("[A-Za-z]"))
-    )
+    ticket, file, both = r"^[A-Z]{2,}-[0-9]+$", rf"\.({'|'.join(EXTENSIONS)})$", lambda w: w.rlike("[0-9]") & w.rlike(r"\p{L}")
+    camel = lambda w: w.rlike(r"^[\p{L}\p{N}]+$") & w.rlike("[a-z]") & w.rlike("^.[^A-Z]*[A-Z]")
+    ok = lambda w: (F.char_length(w) >= 3) & w.rlike(r"[\p{L}\p{N}]") & (w.rlike(ticket) | w.contains("_") | w.rlike(file) | camel(w) | both(w))
     return F.array_distinct(F.filter(trimmed, ok))
 
 
@@ -95,9 +95,14 @@ def _hits(notes: DataFrame, queries: DataFrame, words: Column) -> DataFrame:
     return _search(_once(notes).select("path", F.col("body").alias("text")), _asked(queries, words))
 
 
+def raw_text(fields: Column, body: Column) -> Column:
+    """A note as it stands in its file, but for the order of its fields."""
+    return F.concat_ws("\n", F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"), body)
+
+
 def lexical_bonus(notes: DataFrame, queries: DataFrame, step: float = 0.04) -> DataFrame:
-    """``qid, path, bonus``: the step for each of up to two identifiers of the query that the note holds verbatim."""
-    raw = notes.where("path is not null").groupBy("path").agg(F.max(F.concat_ws("\n", F.map_values("fields"), F.col("body"))).alias("text"))
+    """``qid, path, bonus``: the step for each of up to two identifiers of the query that the note holds verbatim, header and body."""
+    raw = notes.where("path is not null").groupBy("path").agg(F.max(raw_text(F.col("fields"), F.col("body"))).alias("text"))
     hits = _search(raw, _asked(queries, identifiers(F.col("query"))), lower=False).groupBy("qid", "path").agg(F.count("*").alias("n"))
     return hits.where(F.lit(step) > 0).select("qid", "path", (F.least("n", F.lit(2)) * step).alias("bonus"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encoder import quantised
 from ..functions.vectors import cosine, usable
+from .ranking import rank_notes, score_pairs
 
 
 def hit_rates(ranked: DataFrame, cases: DataFrame, tolerated: DataFrame | None = None) -> DataFrame:
@@ -22,10 +23,10 @@ def hit_rates(ranked: DataFrame, cases: DataFrame, tolerated: DataFrame | None =
     return rows.groupBy("family").agg(*out)
 
 
-def diagnose(scored: DataFrame, cases: DataFrame) -> DataFrame:
-    """``qid, target_score, top_score, gap``: how far the expected note is from the best."""
-    best = scored.groupBy("qid").agg(F.max("score").alias("top_score"))
-    target = scored.join(cases.select("qid", F.col("expected").alias("path")), ["qid", "path"]).select("qid", F.col("score").alias("target_score"))
+def diagnose(vectors: DataFrame, queries: DataFrame, cases: DataFrame, dim: int = 64) -> DataFrame:
+    """``qid, target_score, top_score, gap``: how far the expected note is from the best. Only these two are scored for each query."""
+    best = rank_notes(vectors, queries, 1, dim=dim).select("qid", F.col("score").alias("top_score"))
+    target = score_pairs(vectors, queries, cases.select("qid", F.col("expected").alias("path")), dim).select("qid", F.col("score").alias("target_score"))
     return target.join(best, "qid").withColumn("gap", F.col("top_score") - F.col("target_score"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import field
-from ..functions.vectors import score_against, usable_rows
+from ..functions.vectors import cosine, score_against, usable, usable_rows
 
 
 def top(scored: DataFrame, limit: int, score: str = "score", name: str = "name") -> DataFrame:
@@ -24,12 +24,22 @@ def best_per_note(scored: DataFrame) -> DataFrame:
     return scored.groupBy("qid", "path").agg(best).select("qid", "path", F.col("b.score").alias("score"), (-F.col("b.o")).alias("ordinal"))
 
 
-def rank_notes(vectors: DataFrame, queries: DataFrame, limit: int, bonus: DataFrame | None = None, dim: int = 64) -> DataFrame:
-    """``qid, path, score, ordinal, place``: the ``limit`` best notes of each query. ``bonus(qid, path, bonus)``
-    is added to the note's cosine."""
-    best = best_per_note(score_against(vectors, queries, dim, limit if bonus is None else None))
+def score_pairs(vectors: DataFrame, queries: DataFrame, pairs: DataFrame, dim: int = 64) -> DataFrame:
+    """``qid, path, score, ordinal`` of the given ``pairs(qid, path)`` only."""
+    asked = queries.where(usable(dim=dim)).select("qid", F.col("embedding").alias("asked"))
+    wanted = pairs.select("qid", "path").distinct().join(asked, "qid")
+    rows = vectors.where(usable(dim=dim)).select("path", "ordinal", "question_no", "embedding")
+    return best_per_note(wanted.join(rows, "path").select("qid", "path", "ordinal", "question_no", cosine(F.col("embedding"), F.col("asked")).alias("score")))
+
+
+def rank_notes(vectors: DataFrame, queries: DataFrame, limit: int, bonus: DataFrame | None = None, dim: int = 64, base: DataFrame | None = None) -> DataFrame:
+    """``qid, path, score, ordinal, place``: the ``limit`` best notes of each query. ``bonus(qid, path, bonus)``, none of them
+    below 0, is added to the note's cosine: whoever is among the best has a bonus, or is among the best without any, so only those are looked at.
+    ``base`` spares the scan: a ranking without bonus of ``limit`` notes or more."""
+    best = base.select("qid", "path", "score", "ordinal") if base is not None else best_per_note(score_against(vectors, queries, dim, limit))
     if bonus is not None:
-        best = best.join(bonus.select("qid", "path", "bonus"), ["qid", "path"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
+        both = best.unionByName(score_pairs(vectors, queries, bonus, dim)).groupBy("qid", "path").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("o"))).alias("b")).select("qid", "path", F.col("b.score").alias("score"), (-F.col("b.o")).alias("ordinal"))
+        best = both.join(bonus.select("qid", "path", "bonus"), ["qid", "path"], "left").withColumn("score", F.col("score") + F.coalesce("bonus", F.lit(0.0))).drop("bonus")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path"))
     return best.withColumn("place", place).where(F.col("place") <= limit)
 
@@ -43,10 +53,10 @@ def note_heads(notes: DataFrame) -> DataFrame:
     return notes.where("path is not null").groupBy("path").agg(F.max(F.struct(*[field(c).alias(c) for c in ("status", "name", "description", "verified", "type")])).alias("h")).select("path", "h.*")
 
 
-def search(vectors: DataFrame, queries: DataFrame, notes: DataFrame, pool: int = 25, shown: int = 5, archives: bool = False, bonus: DataFrame | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, notes: DataFrame, pool: int = 25, shown: int = 5, archives: bool = False, bonus: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
     """The first ``shown`` active notes of the ``pool`` best of each query, and how many archived ones stood before the
     last of them: ``qid, path, score, ordinal, place, hidden``. Notes that are gone are shown without description."""
-    ranked = rank_notes(vectors, queries, pool, bonus)
+    ranked = rank_notes(vectors, queries, pool, bonus, base=base)
     seen = ranked.join(note_heads(notes), "path", "left").withColumn("active", F.lit(True) if archives else is_active())
     before = Window.partitionBy("qid").orderBy("place")
     n_active = F.sum(F.col("active").cast("int"))
@@ -55,11 +65,11 @@ def search(vectors: DataFrame, queries: DataFrame, notes: DataFrame, pool: int =
     return hidden.where(F.col("active") & (F.col("n") <= shown)).select("qid", "path", "score", "ordinal", F.col("n").alias("place"), "hidden", "name", "description")
 
 
-def answer(vectors: DataFrame, queries: DataFrame, notes: DataFrame, chunks: DataFrame, n: int = 5, max_chars: int = 4000, least_room: int = 200, pool: int = 25) -> DataFrame:
+def answer(vectors: DataFrame, queries: DataFrame, notes: DataFrame, chunks: DataFrame, n: int = 5, max_chars: int = 4000, least_room: int = 200, pool: int = 25, bonus: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
     """Passages under one budget of characters for each query: ``qid, path, name, score, verified, text``. Archived
     and missing notes are passed over; a passage is cut to what is left, and none is begun with less than
     ``least_room`` left."""
-    ranked = rank_notes(vectors, queries, pool)
+    ranked = rank_notes(vectors, queries, pool, bonus, base=base)
     texts = chunks.select("path", "ordinal", "text").groupBy("path", "ordinal").agg(F.max("text").alias("text"))
     live = ranked.join(note_heads(notes), "path").where(is_active()).join(texts, ["path", "ordinal"])
     rows = live.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("place", "path", "name", "score", "verified", "text"))).alias("rows"))  # at most ``pool`` rows
@@ -76,9 +86,9 @@ def answer(vectors: DataFrame, queries: DataFrame, notes: DataFrame, chunks: Dat
     return rows.select("qid", F.explode(F.aggregate("rows", start, step, lambda s: s["out"])).alias("r")).select("qid", "r.*")
 
 
-def hook(vectors: DataFrame, queries: DataFrame, notes: DataFrame, chunks: DataFrame, least_score: float = 0.60) -> DataFrame:
+def hook(vectors: DataFrame, queries: DataFrame, notes: DataFrame, chunks: DataFrame, least_score: float = 0.60, bonus: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
     """Two passages of 700 characters together, of notes that score at least ``least_score``."""
-    return answer(vectors, queries, notes, chunks, n=2, max_chars=700).where(F.col("score") >= least_score)
+    return answer(vectors, queries, notes, chunks, n=2, max_chars=700, bonus=bonus, base=base).where(F.col("score") >= least_score)
 
 
 def shape_prompt(prompt):

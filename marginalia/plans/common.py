@@ -44,3 +44,10 @@ N_SQL = """
 n AS (SELECT DISTINCT path, fields, body, added_at, modified_at, deleted_at FROM notes WHERE path IS NOT NULL)"""
 T_SQL = """
 tq AS (SELECT search_id AS qid, max(query) AS query, max(shown[1]) AS expected FROM search_log WHERE search_id % 100 = 0 AND query IS NOT NULL GROUP BY search_id)"""
+IDS_SQL = r"""
+ids AS (SELECT DISTINCT qid, t AS identifier FROM (SELECT qid, CASE WHEN regexp_matches(w, '\.(md|sh)$') THEN w ELSE regexp_replace(w, '^\.+|\.+$', '', 'g') END AS t
+  FROM (SELECT qid, unnest(string_split_regex(query, '[\s,;()«»"''?!:]+')) AS w FROM tq)) WHERE length(t) >= 3 AND regexp_matches(t, '[\p{L}\p{N}]') AND (regexp_matches(t, '^[A-Z]{2,}-[0-9]+$') OR contains(t, '_')
+  OR regexp_matches(t, '\.(md|sh|rs|php|dart|json|yml|yaml|toml|sql|py|ts|js)$')
+  OR (regexp_matches(t, '^[\p{L}\p{N}]+$') AND regexp_matches(t, '[a-z]') AND regexp_matches(t, '^.[^A-Z]*[A-Z]')) OR (regexp_matches(t, '[0-9]') AND regexp_matches(t, '\p{L}')))),
+raw AS (SELECT path, coalesce(array_to_string(list_transform(map_entries(fields), lambda x: x.key || ': ' || x.value), chr(10)) || chr(10), '') || coalesce(body, '') AS raw FROM n),
+lex AS (SELECT qid, path, least(count(*), 2) * 0.04 AS bonus FROM raw, ids WHERE contains(raw, identifier) GROUP BY qid, path)"""

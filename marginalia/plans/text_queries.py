@@ -9,7 +9,7 @@ from ..functions.text import field, first_chars, stem
 from ..operators import checks, chunking, lexical, links, secrets
 from ..operators.ranking import excerpt
 from ..sources.tables import table
-from .common import N_SQL, T_SQL, plain, query_texts
+from .common import IDS_SQL, N_SQL, T_SQL, plain, query_texts
 
 
 def _notes(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,10 +147,6 @@ _TARGET = _trim("regexp_extract(l, '^([^|#]*)', 1)")
 _EDGES = rf"edges AS (SELECT path, target, {_key('target')} AS key FROM (SELECT path, {_TARGET} AS target FROM (SELECT path, unnest(regexp_extract_all(body, '(?s)\[\[(.*?)\]\]', 1)) AS l FROM n)))"
 _WORDS = r"list_filter(string_split_regex(lower(query), '[^\p{L}\p{N}_-]+'), lambda w: length(w) >= 3)"
 _CLI = rf"list_filter(string_split_regex(lower(query), '{_WS}+'), lambda w: strlen(w) >= 3)"
-_EXT = "|".join(lexical.EXTENSIONS)
-_IDS = rf"""ids AS (SELECT DISTINCT qid, t AS identifier FROM (SELECT qid, CASE WHEN regexp_matches(w, '\.(md|sh)$') THEN w ELSE regexp_replace(w, '^\.+|\.+$', '', 'g') END AS t
-  FROM (SELECT qid, unnest(string_split_regex(query, '[\s,;()«»"''?!:]+')) AS w FROM tq)) WHERE length(t) >= 3 AND (regexp_matches(t, '^[A-Z]{{2,}}-[0-9]+$') OR contains(t, '_') OR regexp_matches(t, '\.({_EXT})$')
-  OR (regexp_matches(t, '^[\p{{L}}\p{{N}}]+$') AND regexp_matches(t, '[a-z][A-Z]')) OR (regexp_matches(t, '[0-9]') AND regexp_matches(t, '[A-Za-z]'))))"""
 _RULES = [
     f"CASE WHEN fields['name'] <> {_STEM} THEN 'name differs from the file: ' || fields['name'] END",
     f"CASE WHEN NOT regexp_matches({_STEM}, '^[a-z0-9]+(-[a-z0-9]+)*$') THEN 'file name is not in kebab case' END",
@@ -173,9 +169,9 @@ SQL = {
     "prj08_excerpt": "SELECT DISTINCT path, CAST(ordinal AS BIGINT) AS ordinal, replace(left(text, 180), chr(10), ' ') AS excerpt FROM chunks WHERE path IS NOT NULL",
     "prj09_heads": f"WITH {N_SQL} SELECT DISTINCT path, coalesce(fields['name'], {_STEM}) AS name, coalesce(fields['verified'], strftime(modified_at, '%Y-%m-%d')) AS date FROM n",
     "prj14_links": f"WITH {N_SQL}, {_EDGES} SELECT path, target, key FROM edges",
-    "prj15_identifiers": f"WITH {T_SQL}, {_IDS} SELECT qid, identifier FROM ids",
+    "prj15_identifiers": f"WITH {N_SQL}, {T_SQL}, {IDS_SQL} SELECT qid, identifier FROM ids",
     "prj16_query_words": f"WITH {T_SQL} SELECT qid, array_to_string({_WORDS}, ' ') AS words, array_to_string({_CLI}, ' ') AS cli_words FROM tq",
-    "v05_lexical_bonus": f"WITH {N_SQL}, {T_SQL}, {_IDS}, raw AS (SELECT path, array_to_string(map_values(fields), chr(10)) || chr(10) || body AS raw FROM n) SELECT qid, path, round(least(count(*), 2) * 0.04, 6) AS bonus FROM raw, ids WHERE contains(raw, identifier) GROUP BY qid, path",
+    "v05_lexical_bonus": f"WITH {N_SQL}, {T_SQL}, {IDS_SQL} SELECT qid, path, round(bonus, 6) AS bonus FROM lex",
     "v15_first_lines": rf"""WITH {N_SQL}, {T_SQL}, c AS (SELECT qid, {_CLI} AS words FROM tq), l AS (SELECT path, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS no FROM (SELECT path, string_split_regex(body, '\r?\n') AS lines FROM n)),
 w AS (SELECT qid, unnest(words) AS word FROM c) SELECT qid, path, CAST(no AS BIGINT) AS line_no, left({_trim('line')}, 110) AS line FROM (SELECT DISTINCT qid, path, no, line FROM l JOIN w ON contains(lower(line), word))
 QUALIFY row_number() OVER (PARTITION BY qid, path ORDER BY no) = 1""",

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import alike, score_against, usable
+from ..functions.vectors import alike, usable
 from ..operators import measure, ranking
 from ..operators.duplicates import near_notes
 from ..operators.feedback import learned_bonus, sum_bonuses, within_window
+from ..operators.lexical import lexical_bonus
+from ..session import materialize
 from ..sources.tables import table
-from .common import N_SQL, TODAY_DAYS, V_SQL, plain, query_vectors, vectors
+from .common import IDS_SQL, N_SQL, T_SQL, TODAY_DAYS, V_SQL, plain, query_texts, query_vectors, vectors
 
 
 def v02_vec_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,34 +37,46 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "feedback").select("pair_id", "query", "path", "source", "count", "last_day").distinct()
 
 
-def _learned(spark: SparkSession, folder: str) -> DataFrame:
-    return learned_bonus(_pairs(spark, folder), _pair_vectors(spark, folder), query_vectors(spark, folder), TODAY_DAYS)
+def _learned(spark: SparkSession, folder: str, asked: DataFrame | None = None) -> DataFrame:
+    return learned_bonus(_pairs(spark, folder), _pair_vectors(spark, folder), asked if asked is not None else query_vectors(spark, folder), TODAY_DAYS)
 
 
 def v06_learned_bonus(spark: SparkSession, folder: str) -> DataFrame:
     return plain(_learned(spark, folder))
 
 
-def _windowed(spark: SparkSession, folder: str) -> DataFrame:
-    base = ranking.rank_notes(vectors(spark, folder), query_vectors(spark, folder), 50)
-    return within_window(_learned(spark, folder), base)
+def _base(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.rank_notes(vectors(spark, folder), query_vectors(spark, folder), 50)
 
 
 def v08_learned_window(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(_windowed(spark, folder))
+    return plain(within_window(_learned(spark, folder), _base(spark, folder)))
+
+
+def _boosted(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The query vectors; the ranking without bonuses, and both bonuses together. The text of a query vector is that of the search with its number, if
+    there is one."""
+    asked = materialize(query_vectors(spark, folder))
+    base = materialize(ranking.rank_notes(vectors(spark, folder), asked, 50))
+    texts = query_texts(spark, folder).join(asked.select("qid"), "qid", "left_semi")
+    learned = within_window(_learned(spark, folder, asked), base)
+    return asked, {"base": base, "bonus": materialize(sum_bonuses(lexical_bonus(table(spark, folder, "notes"), texts), learned))}
 
 
 def v09_note_rank_bonus(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(ranking.rank_notes(vectors(spark, folder), query_vectors(spark, folder), 5, sum_bonuses(_windowed(spark, folder))))
+    asked, given = _boosted(spark, folder)
+    return plain(ranking.rank_notes(vectors(spark, folder), asked, 5, **given))
 
 
 def v10_search(spark: SparkSession, folder: str) -> DataFrame:
-    found = ranking.search(vectors(spark, folder), query_vectors(spark, folder), table(spark, folder, "notes"))
+    asked, given = _boosted(spark, folder)
+    found = ranking.search(vectors(spark, folder), asked, table(spark, folder, "notes"), **given)
     return plain(found.select("qid", "path", "score", "place", "hidden"))
 
 
 def _passages(spark: SparkSession, folder: str, f) -> DataFrame:
-    return f(vectors(spark, folder), query_vectors(spark, folder), table(spark, folder, "notes"), table(spark, folder, "chunks"))
+    asked, given = _boosted(spark, folder)
+    return f(vectors(spark, folder), asked, table(spark, folder, "notes"), table(spark, folder, "chunks"), **given)
 
 
 def v11_answer(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,8 +120,7 @@ def b01_bench_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def b07_diagnose(spark: SparkSession, folder: str) -> DataFrame:
     asked, cases = _cases(spark, folder)
-    scored = ranking.best_per_note(score_against(vectors(spark, folder).where("question_no is null"), asked))
-    return plain(measure.diagnose(scored, cases))
+    return plain(measure.diagnose(vectors(spark, folder).where("question_no is null"), asked, cases))
 
 
 def b03_passage_cost(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +150,8 @@ QUERIES = {
 }
 
 _PLACED = f"WITH {V_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS place FROM best)"
-_HEADS = f"{N_SQL}, h AS (SELECT path, fields['status'] AS status, fields['name'] AS name, fields['verified'] AS verified FROM n)"
+_HEAD = "h AS (SELECT path, fields['status'] AS status, fields['name'] AS name, fields['verified'] AS verified FROM n)"
+_HEADS = f"{N_SQL}, {_HEAD}"
 _LEARNED = f"""{_PLACED},
 fb AS (SELECT DISTINCT pair_id, query, path, source, count, last_day FROM feedback),
 fv AS (SELECT query, e FROM (SELECT query, min(pair_id) AS vec_id FROM feedback WHERE query IS NOT NULL GROUP BY query) JOIN (SELECT DISTINCT vec_id, e FROM v) USING (vec_id)),
@@ -146,6 +160,9 @@ learned AS (SELECT qid, path, least(sum(0.03 * sim * least(coalesce(count, 0), 3
   FROM fb JOIN sims USING (query) WHERE sim >= 0.85 AND path IS NOT NULL GROUP BY qid, path),
 base AS (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM ranked WHERE place <= 50),
 windowed AS (SELECT l.* FROM learned l JOIN base b ON l.qid = b.qid AND l.path = b.path WHERE top - score <= 0.10)"""
+_BOOSTED = f"""{_LEARNED}, {_HEADS}, {T_SQL}, {IDS_SQL},
+bonus AS (SELECT qid, path, sum(bonus) AS bonus FROM (SELECT qid, path, bonus FROM windowed UNION ALL SELECT qid, path, bonus FROM lex) GROUP BY qid, path),
+boosted AS (SELECT qid, path, total AS score, ordinal, row_number() OVER (PARTITION BY qid ORDER BY total DESC, path) AS place FROM (SELECT b.qid, b.path, ordinal, score + coalesce(bonus, 0) AS total FROM best b LEFT JOIN bonus w ON b.qid = w.qid AND b.path = w.path))"""
 _TEXT_BEST = """tbest AS (SELECT qid, path, score, coalesce(ordinal, 0) AS ordinal FROM s WHERE question_no IS NULL
   QUALIFY row_number() OVER (PARTITION BY qid, path ORDER BY score DESC, coalesce(ordinal, 0)) = 1),
 tranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS place FROM tbest)"""
@@ -153,9 +170,9 @@ _CASES = "cases AS (SELECT DISTINCT vec_id AS qid, split_part(path, '/', 1) AS f
 
 
 def _passages_sql(n: int, chars: int, least: str) -> str:
-    return f"""{_PLACED.replace('WITH', 'WITH RECURSIVE', 1)}, {_HEADS},
+    return f"""{_BOOSTED.replace('WITH', 'WITH RECURSIVE', 1)},
 c AS (SELECT path, ordinal, max(text) AS text FROM chunks GROUP BY path, ordinal),
-live AS (SELECT qid, r.path, score, text, row_number() OVER (PARTITION BY qid ORDER BY place) AS k FROM ranked r JOIN h ON r.path = h.path JOIN c ON c.path = r.path AND c.ordinal = r.ordinal
+live AS (SELECT qid, r.path, score, text, row_number() OVER (PARTITION BY qid ORDER BY place) AS k FROM boosted r JOIN h ON r.path = h.path JOIN c ON c.path = r.path AND c.ordinal = r.ordinal
   WHERE place <= 25 AND status IS DISTINCT FROM 'archived'),
 walk AS (SELECT qid, path, score, left(text, {chars}) AS text, k, length(left(text, {chars})) AS used FROM live WHERE k = 1
   UNION ALL SELECT l.qid, l.path, l.score, left(l.text, {chars} - w.used), l.k, w.used + length(left(l.text, {chars} - w.used)) FROM walk w JOIN live l ON l.qid = w.qid AND l.k = w.k + 1
@@ -168,10 +185,9 @@ SQL = {
     "v04_note_rank_max": f"{_PLACED} SELECT qid, path, round(score, 6) AS score, CAST(ordinal AS BIGINT) AS ordinal, place FROM ranked WHERE place <= 5",
     "v06_learned_bonus": f"{_LEARNED} SELECT qid, path, round(bonus, 6) AS bonus FROM learned",
     "v08_learned_window": f"{_LEARNED} SELECT qid, path, round(bonus, 6) AS bonus FROM windowed",
-    "v09_note_rank_bonus": f"""{_LEARNED} SELECT qid, path, round(total, 6) AS score, CAST(ordinal AS BIGINT) AS ordinal, place FROM (
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY total DESC, path) AS place FROM (SELECT b.*, score + coalesce(bonus, 0) AS total FROM best b LEFT JOIN windowed w ON b.qid = w.qid AND b.path = w.path)) WHERE place <= 5""",
-    "v10_search": f"""{_PLACED}, {_HEADS},
-seen AS (SELECT r.*, status IS DISTINCT FROM 'archived' AS active FROM ranked r LEFT JOIN h ON r.path = h.path WHERE place <= 25),
+    "v09_note_rank_bonus": f"{_BOOSTED} SELECT qid, path, round(score, 6) AS score, CAST(ordinal AS BIGINT) AS ordinal, place FROM boosted WHERE place <= 5",
+    "v10_search": f"""{_BOOSTED},
+seen AS (SELECT r.*, status IS DISTINCT FROM 'archived' AS active FROM boosted r LEFT JOIN h ON r.path = h.path WHERE place <= 25),
 run AS (SELECT *, sum(CASE WHEN active THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY place) AS k FROM seen),
 hid AS (SELECT *, sum(CASE WHEN NOT active AND k < 5 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS hidden FROM run)
 SELECT qid, path, round(score, 6) AS score, CAST(k AS BIGINT) AS place, CAST(hidden AS BIGINT) AS hidden FROM hid WHERE active AND k <= 5""",
