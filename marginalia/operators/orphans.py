@@ -3,8 +3,8 @@
 A reference is met when its target exists early enough: of each link key and each path only the first day of
 existence matters, so the targets are folded to one row before any join, and a hot key costs no more than its
 references. What isn't met is a direct orphan. Then the fixpoint: whatever refers to a record with an orphan
-reference has inherited one. Each round joins the references that are still sound with the records found in the round
-before and drops what it found, so rounds shrink, and end when nothing is new.
+reference has inherited one. The references between records are written once; each round semi-joins them with the records found in the round
+before, and drops those found earlier. It ends when nothing is new, after as many rounds as the longest chain has links.
 
 Defined results: null links, keys and paths are no references, an empty link key is no link; a null time of the
 referring record can't be met and gives a null period; a null time of a target never meets; repeated rows count
@@ -13,11 +13,11 @@ once; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import field, link_key, link_target, links, stem
-from ..session import forget, materialize
+from ..session import materialize
 
 COLUMNS = ("ref_table", "ref_field", "ref_key", "target", "period")
 
@@ -56,36 +56,30 @@ def references(notes: DataFrame, common: DataFrame, feedback: DataFrame) -> Data
     return links_.select(*COLUMNS, "met", F.lit(False).alias("by_path")).unionByName(rated.select(*COLUMNS, "met", F.lit(True).alias("by_path")))
 
 
-def orphans(notes: DataFrame, common: DataFrame, feedback: DataFrame, most_rounds: int = 1000) -> DataFrame:
+def orphans(notes: DataFrame, common: DataFrame, feedback: DataFrame) -> DataFrame:
     """Every orphan reference: ref_table, ref_field, ref_key, target, period and ``depth``, 0 for direct ones; a
     record that refers to a record of depth d (and to none of less) has inherited depth d + 1."""
     refs = materialize(references(notes, common, feedback))
-    direct = refs.where("not met").select(*COLUMNS, F.lit(0).alias("depth"))
+    record = ["ref_table", "ref_key"]
+    broken = refs.where("not met").select(*record).distinct()
     # The records behind a met target: the notes that carry the key, or the path.
     nodes = _targets(notes, common).select("path", "name").distinct()
     keyed = nodes.select("path", F.explode(F.array_distinct(F.array_compact(F.array(link_key(F.col("name")), link_key(stem(F.col("path"))))))).alias("target"), F.lit(False).alias("by_path"))
     carried = keyed.unionByName(nodes.select("path", F.col("path").alias("target"), F.lit(True).alias("by_path"))).distinct()
-    found, parts = materialize(refs.where("not met").select("ref_table", "ref_key").distinct()), [direct]
-    frontier = found
-    sound = materialize(refs.where("met").join(found, ["ref_table", "ref_key"], "left_anti"))
-    carried = materialize(carried)
-    for depth in range(1, most_rounds):
-        broken = frontier.where("ref_table = 'notes'").select(F.col("ref_key").alias("path")).join(carried, "path").select("target", "by_path").distinct()
-        step = materialize(sound.join(broken, ["target", "by_path"], "left_semi"))
-        if step.isEmpty():
-            return _union(parts)
-        parts.append(step.select(*COLUMNS, F.lit(depth).alias("depth")))
-        frontier = step.select("ref_table", "ref_key").distinct()
-        spent, sound = sound, materialize(sound.join(frontier, ["ref_table", "ref_key"], "left_anti"))
-        forget(spent)
-    raise RuntimeError(f"orphans still spread after {most_rounds} rounds")
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    edges = materialize(refs.where("met").join(carried, ["target", "by_path"]).join(broken, record, "left_anti").select(*COLUMNS, "path"))
+    # Down the graph: only notes are referred to, so only they carry the cascade on. A round reads the edges and what was reached, and writes what is new.
+    frontier = materialize(broken.where("ref_table = 'notes'").select(F.col("ref_key").alias("path")))
+    down = edges.where("ref_table = 'notes'").select("ref_key", "path")
+    reached = frontier.withColumn("depth", F.lit(0))
+    depth = 0
+    while not frontier.isEmpty():  # every round reaches notes that none before did, or is the last
+        depth += 1
+        step = down.join(frontier, "path", "left_semi").select(F.col("ref_key").alias("path")).distinct()
+        frontier = materialize(step.join(reached, "path", "left_anti"))
+        reached = reached.unionByName(frontier.withColumn("depth", F.lit(depth)))
+    per_ref = edges.join(reached, "path").groupBy(*COLUMNS).agg((F.min("depth") + 1).alias("depth"))
+    inherited = per_ref.withColumn("first", F.min("depth").over(Window.partitionBy(*record))).where("depth = first").drop("first")
+    return refs.where("not met").select(*COLUMNS, F.lit(0).alias("depth")).unionByName(inherited)
 
 
 def orphan_report(found: DataFrame) -> DataFrame:
