@@ -56,7 +56,7 @@ TAG = re.compile(
 )
 
 WIKI = {
-    "template": re.compile(r"\{\{[^\W\d_][\w .:-]*(?:\|(?:[^{}]|\{\{[^{}]*\}\})*)?\}\}"),
+    "template": re.compile(r"\{\{[^\W\d_][\w .:-]*(?:\|(?:[^{}]|(?<!\{)\{(?!\{)[^{}]*\}(?!\}))*)?\}\}"),  # without another in it
     "strong": re.compile(r"(?<![\w'])'{2,3}(?!')(?=\S)((?:(?!\n[ \t]*\n).)+?)(?<=\S)(?<!')'{2,3}(?![\w'])", re.S),
     "heading": re.compile(r"^(={2,6})[ \t]*([^=\n][^\n]*?)[ \t]*\1[ \t]*$", re.M),
     "table": re.compile(r"^\{\|[^\n]*\n.*?^\|\}[ \t]*$|^\{\|[^\n]*$", re.M | re.S),
@@ -305,6 +305,8 @@ def _wiki(text: str) -> tuple[str, bool]:
     ):
         text, n = WIKI[name].subn(to, text)
         seen = seen or n > 0
+        while n and name == "template":  # nested ones, from the inside
+            text, n = WIKI[name].subn(to, text)
     return (text, seen) if seen else (before, False)
 
 
@@ -376,10 +378,8 @@ def read(text: str) -> tuple[str, list[str]]:
     plain, wiki = _wiki(plain)
     plain, commands = _latex(plain, keep)
     families = [name for name, on in (("html", html), ("wiki", wiki), ("latex", latex or commands)) if on]
-    for _ in range(8):
-        if not (swapped := HELD.sub(lambda m: parts[int(m[1])], plain)) != plain:
-            break
-        plain = swapped
+    while HELD.search(plain):  # a part holds only parts set aside before it
+        plain = HELD.sub(lambda m: parts[int(m[1])], plain)
     if families:
         plain = re.sub(r"[ \t]+$", "", plain, flags=re.M)
         plain = re.sub(r"\n{3,}", "\n\n", plain).strip("\n")

@@ -6,10 +6,10 @@ ordered by finish time and cut at the total budget give each source its share as
 source that has run out leaves goes to the others in proportion. Tokens are counted with a public
 tokenizer's file.
 
-Nothing sorts a source in one task. Within a source and pass the shuffled order is cut into ``2 ** slots_log2`` slots
-of the hash; token sums of the slots (a table bounded by sources, repeats and slots) give each slot's offset, and
+Nothing sorts a source in one task. Within a source and pass the shuffled order is cut into slots of the hash, as many as leave about
+``rows_in_one`` documents in each; token sums of the slots give each slot's offset, and
 running sums are taken inside a slot only. The global order by finish time is cut the same way: token sums of
-ranges of finish time find the one range in which the budget ends, and only that range is sorted.
+ranges of finish time, one for every ``rows_in_one`` uses, find the one range in which the budget ends, and only that range is sorted.
 
 Defined results: a source's name is compared in lower case without separators; documents without a source, id or
 text, and of sources without a target, are left aside (``aside`` in the report counts the tokens of the
@@ -52,9 +52,9 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     return sized.groupBy("doc_id").agg(F.min(F.struct("tokens", "source")).alias("x")).select("doc_id", "x.source", "x.tokens")  # counts are shuffled, texts aren't
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY, seed: int = 17, slots_log2: int = 10, ranges: int = 4096) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, vocabulary: str = VOCABULARY, seed: int = 17, rows_in_one: int = 100_000) -> DataFrame:
     """The mixture: ``doc_id, source, pass, tokens, finish``, one row for each use of a document. ``total`` defaults to
-    the tokens of all documents that have a source."""
+    the tokens of all documents that have a source. ``rows_in_one`` is about what a slot or a range holds."""
     sized = materialize(count_tokens(documents, vocabulary))
     known = targets.select(source_key("source").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
     if total is None:
@@ -67,6 +67,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, voca
     spark = documents.sparkSession
     passes = [(r["source"], float(r["share"]), int(r["size"]), int(min(r["repeats"], np.ceil(r["share"] * level / r["size"]) + 1)) if r["size"] else 1) for r in per_source]
     plan = spark.createDataFrame(passes, "source string, share double, size bigint, passes int")
+    uses = sized.groupBy("source").agg(F.count("*").alias("n")).join(F.broadcast(plan.select("source", "passes")), "source").agg(F.max("n").alias("most"), F.sum(F.col("n") * F.col("passes")).alias("all")).first()
+    slots_log2 = max(4, int(np.ceil(np.log2(max(1, (uses["most"] or 0) / rows_in_one)))))
+    ranges = max(64, int(np.ceil((uses["all"] or 0) / rows_in_one)))
     slot = F.pmod(F.shiftright("shuffle", 64 - slots_log2 - 1), F.lit(1 << slots_log2))
     copies = (
         sized.join(F.broadcast(plan), "source")  # one row for each target

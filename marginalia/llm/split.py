@@ -225,8 +225,8 @@ def split_oversized(chunks: DataFrame, notes: DataFrame, limit: int = 450, overl
     chunk_start (octets into the chunk), body_start (octets into the note's body), octets, text.
 
     The chunks of a note are handled 64 ordinals at a time, so that a huge note is neither one task's work nor
-    repeated for each of its chunks."""
+    repeated for each of its chunks; those without ordinal or path are spread by what they hold."""
     big = chunks.select("path", "ordinal", "start", "text").where((F.floor(F.octet_length("text") / 3) + 1) > limit)
-    grouped = big.groupBy("path", F.floor(F.col("ordinal") / 64).alias("run")).agg(F.collect_set(F.struct("ordinal", "start", "text")).alias("rows"))
+    grouped = big.groupBy("path", F.coalesce(F.floor(F.col("ordinal") / 64), F.pmod(F.xxhash64("start", "text"), F.lit(1024))).alias("run"), F.when(F.col("path").isNull(), F.pmod(F.xxhash64("text"), F.lit(1024))).alias("part")).agg(F.collect_set(F.struct("ordinal", "start", "text")).alias("rows"))
     bodies = notes.select("path", "body").join(big.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.max("body").alias("body"))
     return grouped.join(bodies, "path", "left").select("path", "body", "rows").mapInArrow(_pieces(limit, overlap), SCHEMA)

@@ -215,6 +215,12 @@ def test_deep_arguments_leave_nothing():
     assert markup.read("\\emph{" * 9 + "x" + "}" * 9)[0] == "x"
 
 
+def test_nested_templates_leave_nothing():
+    for depth in (1, 2, 3, 7):
+        clean, families = markup.read("{{A|" * depth + "x" + "}}" * depth + " and prose")
+        assert families == ["wiki"] and clean == "x and prose", clean
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("<>/&;'={}|[]$\\~`#\n abipx\r-!_.", max_size=80))
 def test_markup_never_fails_and_keeps_plain_text(text):
@@ -372,6 +378,32 @@ def test_mix_reaches_shares_and_caps(spark):
     assert abs(sum(r["tokens"] for r in mix.mix(d, t, total=1000).collect()) - 1000) < 100
 
 
+def test_mix_is_weighted_fair_queueing(spark):
+    """Against a queue in plain Python, with slots and ranges of few rows."""
+    rng = np.random.default_rng(8)
+    docs = [(i, "tok " * int(rng.integers(0, 40)), "abc"[int(rng.integers(0, 9)) // 4]) for i in range(500)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    share, most = {"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 1, "b": 3, "c": 6}
+    t = spark.createDataFrame([(s, share[s], most[s]) for s in "abc"], "source string, target_share double, max_repeats int")
+    sized = {r["doc_id"]: (r["source"], r["tokens"]) for r in mix.count_tokens(d).collect()}
+    total = sum(n for _, n in sized.values())
+    order = d.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("pass")).select("doc_id", "pass", F.xxhash64("doc_id", "pass", F.lit(17)).alias("h")).collect()
+    spent, queue = dict.fromkeys("abc", 0), []
+    for r in sorted(order, key=lambda r: (r["pass"], (r["h"] >> 59) % 16, r["h"], r["doc_id"])):  # sixteen slots
+        source, tokens = sized[r["doc_id"]]
+        if r["pass"] <= most[source]:
+            spent[source] += tokens
+            queue.append((spent[source] / share[source], source, r["pass"], r["doc_id"], tokens))
+    want, left = set(), total
+    for finish, source, pass_, doc, tokens in sorted(queue):
+        left -= tokens
+        if left < 0:
+            break
+        want.add((doc, pass_))
+    got = {(r["doc_id"], r["pass"]) for r in mix.mix(d, t, rows_in_one=20).collect()}
+    assert {x for x in got ^ want if sized[x[0]][1]} == set() and len(got) > 400
+
+
 # 9: residue
 
 
