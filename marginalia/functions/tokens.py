@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,8 +15,10 @@ from pyspark.sql import types as T
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern published with the byte-level BPE vocabularies of 50,257 entries.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Longer texts are encoded in stretches of this many characters, which may add a token at each cut.
+#: Longer texts are encoded in stretches of about this many characters, cut before a single space between words. The split pattern begins a
+#: piece there, so that counts by byte-level BPE don't depend on the cuts; other kinds of vocabularies may differ by a token at a cut.
 STRETCH = 1_000_000
+BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 _encoders: dict[str, Callable[[str], list[int]]] = {}
 
@@ -47,8 +50,10 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
 
 def count(text: str, path: str = VOCABULARY) -> int:
-    encode = encoder(path)
-    return sum(len(encode(text[i : i + STRETCH])) for i in range(0, len(text), STRETCH))
+    encode, n, at = encoder(path), 0, 0
+    while len(text) - at > STRETCH and (cut := BOUNDARY.search(text, at + STRETCH)):
+        n, at = n + len(encode(text[at : cut.start()])), cut.start()
+    return n + len(encode(text[at:]))
 
 
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
