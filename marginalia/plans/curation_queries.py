@@ -213,6 +213,15 @@ compacted AS (SELECT project, full_bytes, k AS left_out, CAST(strlen(text) AS BI
 
 _HASH = f"""{N_SQL}, fp AS (SELECT path, modified_at, deleted_at, md5(array_to_string(list_sort(list_transform(map_entries(fields), lambda x: x.key || '=' || x.value)), chr(10)) || chr(10) || coalesce(body, '')) AS h FROM n),
 ch AS (SELECT DISTINCT path, ordinal, text FROM chunks), have AS (SELECT DISTINCT v.path, ordinal, question_no, CASE WHEN modified_at < TIMESTAMP '2026-01-01' THEN h END AS had FROM vectors v LEFT JOIN fp ON v.path = fp.path)"""
+_PLAIN_KEY = r"lower(regexp_replace(regexp_extract({}, '^([^|#]*)', 1), '[^\p{{L}}\p{{N}}]', '', 'g'))"
+_TOLERATED = rf"""{N_SQL}, cases AS (SELECT DISTINCT search_id AS qid, shown[1] AS expected FROM search_log WHERE search_id % 100 = 0 AND shown[1] IS NOT NULL AND shown[1] <> ''),
+named AS (SELECT key, max(path) AS path FROM (SELECT path, {_PLAIN_KEY.format("fields['name']")} AS key FROM n WHERE fields['name'] IS NOT NULL UNION ALL SELECT path, {_PLAIN_KEY.format(_STEM)} FROM n) WHERE key <> '' GROUP BY key),
+said AS (SELECT path, unnest(regexp_extract_all(line, '\[\[(.*?)\]\]', 1)) AS link FROM (SELECT path, unnest(regexp_extract_all(body, '(?m)^.*(?:See also|Voir aussi).*$')) AS line FROM n) UNION ALL SELECT path, fields['superseded_by'] FROM n WHERE fields['superseded_by'] IS NOT NULL)"""
+_EDGE = r"[\s\v\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BOTH_ENDS = rf"'^{_EDGE}+|{_EDGE}+$', '', 'g'"
+_QUESTIONS = rf"""q AS (SELECT DISTINCT search_id, query FROM search_log WHERE query IS NOT NULL),
+lines AS (SELECT search_id, regexp_replace(unnest([regexp_replace('1. ' || query, {_BOTH_ENDS}), regexp_replace('- ' || query, {_BOTH_ENDS})]), '^[\p{{Nd}}.)\-*•]+', '') AS x FROM q),
+bare AS (SELECT search_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^([\p{{Nd}}.)\-*•]|{_EDGE})+', ''), {_BOTH_ENDS}), '^["''«“]+\s*|\s*["''»”]+$', '', 'g'), {_BOTH_ENDS}) AS question FROM lines)"""
 _MISSED = """s AS (SELECT 1 AS one, secs, arg_max(query, search_id) AS query, arg_max(coalesce(shown, []), search_id) AS shown FROM (SELECT search_id, secs, query, shown FROM search_log WHERE secs IS NOT NULL) GROUP BY secs),
 r AS (SELECT DISTINCT 1 AS one, read_id, secs, path FROM read_log WHERE secs IS NOT NULL AND path IS NOT NULL),
 m AS (SELECT r.read_id, s.query, r.path, CAST(r.secs // 86400 AS BIGINT) AS day FROM r ASOF JOIN s ON r.one = s.one AND r.secs >= s.secs WHERE r.secs - s.secs <= 600 AND NOT coalesce(list_contains(s.shown, r.path), false))"""
@@ -239,5 +248,7 @@ SQL = {
     "i06_pending_questions": "WITH c AS (SELECT DISTINCT path, ordinal, text FROM chunks), k AS (SELECT text FROM c WHERE EXISTS (SELECT 1 FROM vectors v WHERE v.path = c.path AND v.ordinal = c.ordinal AND question_no IS NOT NULL)) SELECT path, CAST(ordinal AS BIGINT) AS ordinal FROM c WHERE text NOT IN (SELECT text FROM k)",
     "i07_pruned_questions": "WITH c AS (SELECT DISTINCT path, ordinal, text FROM chunks), k AS (SELECT DISTINCT text FROM c WHERE EXISTS (SELECT 1 FROM vectors v WHERE v.path = c.path AND v.ordinal = c.ordinal AND question_no IS NOT NULL)) SELECT md5(text) AS chunk_hash FROM k WHERE text IN (SELECT text FROM c WHERE path IN (SELECT path FROM notes WHERE deleted_at IS NULL))",
     "i09_missing_queries": "SELECT DISTINCT query FROM feedback WHERE query IS NOT NULL AND query NOT IN (SELECT query FROM search_log WHERE query IS NOT NULL)",
+    "j10_tolerated": f"WITH {_TOLERATED} SELECT qid, expected AS path FROM cases UNION SELECT qid, m.path FROM cases c JOIN said s ON s.path = c.expected JOIN named m ON m.key = {_PLAIN_KEY.format('s.link')}",
+    "e10_clean_questions": f"WITH {_QUESTIONS} SELECT DISTINCT search_id, question FROM bare WHERE length(question) BETWEEN 8 AND 220",
     "j05_family_hits": "SELECT split_part(path, '/', 1) AS family, count(*) AS hits, count(*) FILTER (WHERE score IS NULL OR isnan(score)) AS unscored, round(CAST(max(score) FILTER (WHERE NOT isnan(score)) AS DOUBLE), 6) AS best FROM (SELECT DISTINCT * FROM note_hits) WHERE path IS NOT NULL GROUP BY 1",
 }

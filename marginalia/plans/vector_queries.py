@@ -95,6 +95,11 @@ def v17_near_note_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return plain(near_notes(vectors(spark, folder), table(spark, folder, "notes"), 0.97))
 
 
+def v17_near_note_pairs_90(spark: SparkSession, folder: str) -> DataFrame:
+    """The same at the engine's own threshold, which very many pairs of the test vectors pass."""
+    return plain(near_notes(vectors(spark, folder), table(spark, folder, "notes")))
+
+
 def v18_recentred_rank(spark: SparkSession, folder: str) -> DataFrame:
     once = vectors(spark, folder).where(usable()).groupBy("vec_id").agg(F.max(F.struct("path", "ordinal", "question_no", "embedding")).alias("v")).select("vec_id", "v.*")
     moved = ranking.recenter(once)
@@ -145,7 +150,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         v02_vec_topk, v04_note_rank_max, v06_learned_bonus, v08_learned_window, v09_note_rank_bonus, v10_search, v11_answer, v13_hook,
-        v16_nearest_active, v17_near_note_pairs, v18_recentred_rank, v19_mmr, b01_bench_metrics, b02_leave_one_out, b03_passage_cost, b07_diagnose, b05_q8_fidelity,
+        v16_nearest_active, v17_near_note_pairs, v17_near_note_pairs_90, v18_recentred_rank, v19_mmr, b01_bench_metrics, b02_leave_one_out, b03_passage_cost, b07_diagnose, b05_q8_fidelity,
     )
 }
 
@@ -169,15 +174,22 @@ tranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, p
 _CASES = "cases AS (SELECT DISTINCT vec_id AS qid, split_part(path, '/', 1) AS family, path AS expected, ordinal FROM v WHERE vec_id % 100 = 0 AND question_no IS NOT NULL)"
 
 
-def _passages_sql(n: int, chars: int, least: str) -> str:
-    return f"""{_BOOSTED.replace('WITH', 'WITH RECURSIVE', 1)},
-c AS (SELECT path, ordinal, max(text) AS text FROM chunks GROUP BY path, ordinal),
-live AS (SELECT qid, r.path, score, text, row_number() OVER (PARTITION BY qid ORDER BY place) AS k FROM boosted r JOIN h ON r.path = h.path JOIN c ON c.path = r.path AND c.ordinal = r.ordinal
+def _walk_sql(ranked: str, n: int, chars: int) -> str:
+    return f"""c AS (SELECT path, ordinal, max(text) AS text FROM chunks GROUP BY path, ordinal),
+live AS (SELECT qid, r.path, score, text, row_number() OVER (PARTITION BY qid ORDER BY place) AS k FROM {ranked} r JOIN h ON r.path = h.path JOIN c ON c.path = r.path AND c.ordinal = r.ordinal
   WHERE place <= 25 AND status IS DISTINCT FROM 'archived'),
 walk AS (SELECT qid, path, score, left(text, {chars}) AS text, k, length(left(text, {chars})) AS used FROM live WHERE k = 1
   UNION ALL SELECT l.qid, l.path, l.score, left(l.text, {chars} - w.used), l.k, w.used + length(left(l.text, {chars} - w.used)) FROM walk w JOIN live l ON l.qid = w.qid AND l.k = w.k + 1
-  WHERE {chars} - w.used >= 200 AND w.k < {n})
-SELECT qid, path, round(score, 6) AS score, text FROM walk WHERE {least}"""
+  WHERE {chars} - w.used >= 200 AND w.k < {n})"""
+
+
+def _passages_sql(n: int, chars: int, least: str) -> str:
+    return f"{_BOOSTED.replace('WITH', 'WITH RECURSIVE', 1)}, {_walk_sql('boosted', n, chars)} SELECT qid, path, round(score, 6) AS score, text FROM walk WHERE {least}"
+
+
+def _near_sql(least: float) -> str:
+    return f"""WITH {V_SQL}, {_HEADS}, a AS (SELECT DISTINCT v.path, e FROM v JOIN h ON v.path = h.path WHERE question_no IS NULL AND status IS DISTINCT FROM 'archived')
+SELECT path_a, path_b, round(max(sim), 6) AS score FROM (SELECT x.path AS path_a, y.path AS path_b, list_cosine_similarity(x.e, y.e) AS sim FROM a x JOIN a y ON x.path < y.path) WHERE sim >= {least} GROUP BY path_a, path_b"""
 
 
 SQL = {
@@ -195,17 +207,28 @@ SELECT qid, path, round(score, 6) AS score, CAST(k AS BIGINT) AS place, CAST(hid
     "v13_hook": _passages_sql(2, 700, "score >= 0.60"),
     "v16_nearest_active": f"""WITH {V_SQL}, {_TEXT_BEST}, {_HEADS} SELECT qid, path, round(score, 6) AS score FROM (SELECT qid, t.path, score, row_number() OVER (PARTITION BY qid ORDER BY place) AS k
   FROM tranked t JOIN h ON t.path = h.path WHERE place <= 5 AND status IS DISTINCT FROM 'archived') WHERE k = 1 AND score >= 0.90""",
-    "v17_near_note_pairs": f"""WITH {V_SQL}, {_HEADS}, a AS (SELECT DISTINCT v.path, e FROM v JOIN h ON v.path = h.path WHERE question_no IS NULL AND status IS DISTINCT FROM 'archived')
-SELECT path_a, path_b, round(max(sim), 6) AS score FROM (SELECT x.path AS path_a, y.path AS path_b, list_cosine_similarity(x.e, y.e) AS sim FROM a x JOIN a y ON x.path < y.path) WHERE sim >= 0.97 GROUP BY path_a, path_b""",
+    "v17_near_note_pairs": _near_sql(0.97),
+    "v17_near_note_pairs_90": _near_sql(0.90),
     "v18_recentred_rank": f"""WITH {V_SQL}, m AS (SELECT list(a ORDER BY i) AS mean FROM (SELECT i, avg(e[i]) AS a FROM (SELECT DISTINCT vec_id, e FROM v), range(1, 65) r(i) GROUP BY i)),
 c AS (SELECT vec_id, path, list_transform(list_zip(e, mean), lambda x: x[1] - x[2]) AS d FROM v, m),
 sc AS (SELECT y.vec_id AS qid, x.path, max(list_cosine_similarity(x.d, y.d)) AS score FROM c x, c y WHERE y.vec_id % 100 = 0 AND x.path IS NOT NULL GROUP BY y.vec_id, x.path)
 SELECT qid, path, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path) AS place FROM sc) WHERE place <= 5""",
+    "v19_mmr": f"""{_PLACED.replace('WITH', 'WITH RECURSIVE', 1)},
+own AS (SELECT path, ordinal, max(e) AS e FROM v WHERE question_no IS NULL GROUP BY path, ordinal),
+pool AS (SELECT qid, r.path, score, place, e FROM ranked r JOIN own o ON o.path = r.path AND o.ordinal = r.ordinal WHERE place <= 20),
+pick AS (SELECT qid, 1 AS step, [arg_min(path, place)] AS chosen FROM pool GROUP BY qid
+  UNION ALL SELECT qid, step + 1, list_append(chosen, path) FROM (
+    SELECT k.qid, step, chosen, p.path, row_number() OVER (PARTITION BY k.qid ORDER BY 0.7 * p.score - 0.3 * (SELECT greatest(max(list_cosine_similarity(p.e, c.e)), 0) FROM pool c WHERE c.qid = k.qid AND list_contains(chosen, c.path)) DESC, p.place) AS best
+    FROM pick k JOIN pool p ON p.qid = k.qid AND NOT list_contains(chosen, p.path) WHERE step < 5) WHERE best = 1),
+last AS (SELECT qid, arg_max(chosen, step) AS chosen FROM pick GROUP BY qid)
+SELECT p.qid, p.path, CAST(list_position(chosen, p.path) AS BIGINT) AS place, round(p.score, 6) AS score FROM last l JOIN pool p ON p.qid = l.qid AND list_contains(chosen, p.path)""",
     "b01_bench_metrics": f"""WITH {V_SQL}, {_TEXT_BEST}, {_CASES} SELECT family, count(*) AS cases, round(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0.0 END), 6) AS top1, round(avg(CASE WHEN place IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS top5,
   round(avg(CASE WHEN place IS NOT NULL AND t.ordinal = c.ordinal THEN 1.0 ELSE 0.0 END), 6) AS right_passage FROM cases c LEFT JOIN tranked t ON t.qid = c.qid AND t.path = c.expected AND t.place <= 5 GROUP BY family""",
     "b02_leave_one_out": f"""{_LEARNED}, own AS (SELECT query, vec_id AS qid, e AS qe FROM (SELECT query, min(pair_id) AS vec_id FROM feedback WHERE query IS NOT NULL GROUP BY query) JOIN (SELECT DISTINCT vec_id, e FROM v) USING (vec_id) WHERE vec_id % 100 = 0),
 sim2 AS (SELECT fv.query, qid, list_cosine_similarity(e, qe) AS sim FROM fv JOIN own ON fv.query <> own.query)
 SELECT qid, path, round(least(sum(0.03 * sim * least(coalesce(count, 0), 3) / 3 * pow(0.5, greatest({TODAY_DAYS} - last_day, 0) / 60.0)), 0.05), 6) AS bonus FROM fb JOIN sim2 USING (query) WHERE sim >= 0.85 AND path IS NOT NULL GROUP BY qid, path""",
+    "b03_passage_cost": f"""WITH RECURSIVE {V_SQL}, {_TEXT_BEST}, {_HEADS}, {_CASES}, {_walk_sql('tranked', 5, 4000)}
+SELECT c.qid, count(w.path) AS passages, CAST(coalesce(sum(ceil(strlen(w.text) / 4.0)), 0) AS BIGINT) AS tokens, coalesce(bool_or(w.path = c.expected), false) AS reached FROM cases c LEFT JOIN walk w ON w.qid = c.qid GROUP BY c.qid""",
     "b07_diagnose": f"""WITH {V_SQL}, {_TEXT_BEST}, {_CASES} SELECT c.qid, round(t.score, 6) AS target_score, round(m.top, 6) AS top_score, round(m.top - t.score, 6) AS gap FROM cases c JOIN tbest t ON t.qid = c.qid AND t.path = c.expected
   JOIN (SELECT qid, max(score) AS top FROM tbest GROUP BY qid) m ON m.qid = c.qid""",
     "b05_q8_fidelity": f"""WITH {V_SQL}, w AS (SELECT DISTINCT vec_id, path, ordinal, e FROM v WHERE question_no IS NULL),
