@@ -5,8 +5,10 @@ State lives below ``<root>/.marginalia``: the vectors' snapshots, the logs, the
 
 from __future__ import annotations
 
+import inspect
 import json
 import os
+import socket
 import sys
 import time
 from collections.abc import Callable
@@ -290,37 +292,90 @@ class Engine:
 TOOLS = ("search", "answer", "context", "read", "append", "verify", "check", "curation", "learn", "since", "why", "status", "index", "hook", "link", "write", "supersede", "teach", "forget", "learned", "regen", "secrets", "list", "usage")
 
 
+def _tool(name: str) -> dict[str, object]:
+    """A tool as the Model Context Protocol lists it, from the method itself."""
+    method = getattr(Engine, name)
+    kinds = {"str": "string", "int": "integer", "bool": "boolean", "float": "number"}
+    params = [p for p in inspect.signature(method).parameters.values() if p.name != "self"]
+    props = {p.name: {"type": kinds.get(str(p.annotation).split(" | ")[0], "string")} for p in params}
+    return {"name": name, "description": inspect.getdoc(method) or name, "inputSchema": {"type": "object", "properties": props, "required": [p.name for p in params if p.default is p.empty]}}
+
+
+def _call(engine: Engine, name: str, params: dict[str, object] | list[object]) -> object:
+    method = getattr(engine, name)
+    return method(**params) if isinstance(params, dict) else method(*params)
+
+
+def _protocol(engine: Engine, method: str, params: dict) -> object:
+    """The methods of the Model Context Protocol; a refused call is a result that says so."""
+    if method == "initialize":
+        return {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "marginalia", "version": "0.2"}}
+    if method == "ping":
+        return {}
+    if method == "tools/list":
+        return {"tools": [_tool(x) for x in TOOLS]}
+    if params.get("name") not in TOOLS:
+        raise LookupError(f"no tool {params.get('name')}")
+    try:
+        got, failed = _call(engine, params["name"], params.get("arguments") or {}), False
+    except (Refused, LookupError, TypeError) as e:
+        got, failed = str(e), True
+    return {"content": [{"type": "text", "text": got if isinstance(got, str) else json.dumps(got, default=str, ensure_ascii=False)}], "isError": failed}
+
+
 def serve(engine: Engine, lines=sys.stdin, out=sys.stdout) -> None:
-    """A line of JSON in, a line of JSON out: ``{"id", "method", "params"}``, methods as in TOOLS and ``tools``."""
+    """A line of JSON in, a line of JSON out: ``{"id", "method", "params"}``. Methods are those in TOOLS, ``tools``, and
+    ``initialize``, ``ping``, ``tools/list`` and ``tools/call``; notifications get no answer."""
     for line in lines:
         if not line.strip():
             continue
         reply: dict[str, object] = {"jsonrpc": "2.0", "id": None}
         try:
             ask = json.loads(line)
-            reply["id"] = ask.get("id")
-            if ask["method"] == "tools":
+            reply["id"], method, params = ask.get("id"), ask["method"], ask.get("params") or {}
+            if method.startswith("notifications/"):
+                continue
+            if method == "tools":
                 reply["result"] = [*TOOLS]
-            elif ask["method"] in TOOLS:
-                params = ask.get("params", {})
-                method = getattr(engine, ask["method"])
-                reply["result"] = method(**params) if isinstance(params, dict) else method(*params)
+            elif method in ("initialize", "ping", "tools/list", "tools/call"):
+                reply["result"] = _protocol(engine, method, params)
+            elif method in TOOLS:
+                reply["result"] = _call(engine, method, params)
             else:
-                reply["error"] = {"code": -32601, "message": f"no method {ask['method']}"}
+                reply["error"] = {"code": -32601, "message": f"no method {method}"}
         except Exception as e:
             reply["error"] = {"code": -32000, "message": str(e)[:500]}
         print(json.dumps(reply, default=str, ensure_ascii=False), file=out, flush=True)
 
 
+def listen(engine: Engine, at: str, most: int | None = None) -> None:
+    """The same over a socket of this machine, one connection after another, so that calls find the session warm; ``most`` ends it after so many."""
+    if os.path.exists(at):
+        os.remove(at)
+    with socket.socket(socket.AF_UNIX) as server:
+        server.bind(at)
+        os.chmod(at, 0o600)
+        server.listen()
+        while most is None or most > 0:
+            link = server.accept()[0]
+            with link, link.makefile("r", encoding="utf-8") as lines, link.makefile("w", encoding="utf-8") as out:
+                serve(engine, lines, out)
+            most = most - 1 if most is not None else None
+    os.remove(at)
+
+
 def main(args: list[str]) -> int:
     """``python -m marginalia ROOT COMMAND [ARGUMENT...]``"""
-    if len(args) < 2 or (args[1] not in TOOLS and args[1] != "serve"):
-        print(main.__doc__, "\ncommands: serve", *TOOLS, file=sys.stderr)
+    if len(args) < 2 or (args[1] not in TOOLS and args[1] not in ("serve", "listen")):
+        print(main.__doc__, "\ncommands: serve, listen SOCKET,", *TOOLS, file=sys.stderr)
         return 2
     engine = Engine(args[0])
     if args[1] == "serve":
         serve(engine)
         return 0
+    if args[1] == "listen":
+        listen(engine, args[2])
+        return 0
     began = time.time()
     try:
         got = getattr(engine, args[1])(*[int(a) if a.isdigit() else a for a in args[2:]])

@@ -97,28 +97,49 @@ def refresh(notes: DataFrame, chunks: DataFrame, have: DataFrame, questions: Dat
 HEADER = ("model", "weights_hash", "dim", "pooling", "prompts")
 
 
+def _files(spark: SparkSession, path: str):
+    """The JVM's view of the file system that holds ``path``, a shared one too."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    return hadoop, hadoop.FileContext.getFileContext(at.toUri() if at.toUri().getScheme() else hadoop.Path(f"file://{os.path.abspath(path)}").toUri(), spark._jsc.hadoopConfiguration())
+
+
 def save(vectors: DataFrame, root: str, header: dict[str, object]) -> str:
-    """Writes the next snapshot and then moves the pointer to it; readers of the old one are not disturbed."""
-    version = f"v{time.time_ns()}"
+    """Writes the next snapshot and then moves the pointer to it, by a rename that overwrites; readers of the old one are not disturbed."""
+    spark, version = vectors.sparkSession, f"v{time.time_ns()}"
     vectors.write.parquet(f"{root}/{version}")
-    with open(f"{root}/CURRENT.tmp", "w") as f:
-        json.dump({"version": version, "header": header}, f)
-    os.replace(f"{root}/CURRENT.tmp", f"{root}/CURRENT")
+    hadoop, files = _files(spark, root)
+    flags = spark._jvm.java.util.EnumSet.of(hadoop.CreateFlag.CREATE, hadoop.CreateFlag.OVERWRITE)
+    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.CreateOpts, 0)
+    next_ = hadoop.Path(f"{root}/CURRENT.{version}")
+    out = files.create(next_, flags, none)
+    out.write(bytearray(json.dumps({"version": version, "header": header}).encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(next_, hadoop.Path(f"{root}/CURRENT"), over)
     return version
 
 
 def load(spark: SparkSession, root: str, header: dict[str, object]) -> DataFrame | None:
     """The newest snapshot, or None if there is none or it was made by another model, pooling or prompt."""
+    hadoop, files = _files(spark, root)
+    at = hadoop.Path(f"{root}/CURRENT")
+    if not files.util().exists(at):
+        return None
+    pointer = files.open(at)
     try:
-        with open(f"{root}/CURRENT") as f:
-            now = json.load(f)
-    except (OSError, ValueError):
+        now = json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(pointer)))
+    except ValueError:
         return None
+    finally:
+        pointer.close()
     if any(now["header"].get(k) != header.get(k) for k in HEADER):
         return None
     return spark.read.parquet(f"{root}/{now['version']}")
 
 
+#: Fixed value: how a flat binary index begins.
 MAGIC = b"MEMIDX1\n"
 
 

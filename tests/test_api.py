@@ -3,12 +3,15 @@
 import io
 import json
 import os
+import socket
 import subprocess
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.api import Engine, Refused, serve
+from marginalia.api import Engine, Refused, listen, serve
 from marginalia.functions import tokens
 
 
@@ -70,7 +73,7 @@ def test_forgetting_usage_and_ambiguity(engine):
     assert set(engine.regen("fam/proj")) == {"fam/proj"} and set(engine.regen()) == {"fam/proj", "fam/other"}
 
 
-def test_history_and_serving(engine):
+def test_history_and_serving(engine, tmp_path):
     git = lambda *a: subprocess.run(["git", "-c", "user.name=n", "-c", "user.email=e@x", "-C", engine.root, *a], check=True, capture_output=True)
     git("init", "-q")
     git("add", "-A")
@@ -82,6 +85,22 @@ def test_history_and_serving(engine):
     serve(engine, ['{"id": 1, "method": "tools"}', '{"id": 2, "method": "status"}', '{"id": 3, "method": "none"}', "not json", '{"id": 4, "method": "read", "params": {"name": "none"}}', ""], out)
     got = [json.loads(x) for x in out.getvalue().splitlines()]
     assert "search" in got[0]["result"] and got[1]["result"]["notes"] == 2 and got[2]["error"]["code"] == -32601 and "error" in got[3] and "not found" in got[4]["error"]["message"]
+    asks = [("initialize", {"protocolVersion": "2025-01-01"}), ("notifications/initialized", {}), ("tools/list", {}), ("tools/call", {"name": "status"}), ("tools/call", {"name": "read", "arguments": {"name": "none"}}), ("tools/call", {"name": "no"})]
+    at = str(tmp_path / "socket")
+    there = threading.Thread(target=listen, args=(engine, at, 1))
+    there.start()
+    while not os.path.exists(at):
+        time.sleep(0.05)
+    with socket.socket(socket.AF_UNIX) as s:
+        s.connect(at)
+        s.sendall("".join(json.dumps({"jsonrpc": "2.0", "id": i, "method": m, "params": p}) + "\n" for i, (m, p) in enumerate(asks)).encode())
+        s.shutdown(socket.SHUT_WR)
+        got = {x["id"]: x for x in map(json.loads, s.makefile())}
+    there.join()
+    assert sorted(got) == [0, 2, 3, 4, 5] and got[0]["result"]["protocolVersion"] == "2025-01-01" and "no tool" in got[5]["error"]["message"]
+    listed = {t["name"]: t for t in got[2]["result"]["tools"]}
+    assert listed["search"]["inputSchema"]["required"] == ["query"] and listed["answer"]["inputSchema"]["properties"]["n"] == {"type": "integer"}
+    assert json.loads(got[3]["result"]["content"][0]["text"])["notes"] == 2 and not got[3]["result"]["isError"] and got[4]["result"]["isError"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
