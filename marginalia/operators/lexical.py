@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import first_chars, strip
 from ..functions.vectors import in_blocks
+from ..session import materialize
 
 # File extensions that make a word an identifier.
 EXTENSIONS = ("md", "sh", "rs", "php", "dart", "json", "yml", "yaml", "toml", "sql", "py", "ts", "js")
@@ -36,10 +37,6 @@ def cli_words(query: Column) -> Column:
     return F.filter(F.split(F.lower(query), r"(?U)\s+"), lambda w: F.octet_length(w) >= 3)
 
 
-def _once(notes: DataFrame) -> DataFrame:
-    return notes.where("path is not null").groupBy("path").agg(F.max("body").alias("body"))
-
-
 def _asked(queries: DataFrame, words: Column) -> DataFrame:
     """One row for each word of a query, and ``said``, how often the query says it."""
     rows = queries.select("qid", F.explode(words).alias("word")).where("word <> ''")
@@ -47,9 +44,13 @@ def _asked(queries: DataFrame, words: Column) -> DataFrame:
 
 
 def _search(texts: DataFrame, asked: DataFrame, lower: bool = True) -> DataFrame:
-    """``asked`` joined with where its words occur; the distinct words go to the executors in blocks of at most MOST_WORDS."""
+    """``asked`` joined with where its words occur; the distinct words go to the executors in blocks of at most MOST_WORDS. The texts aren't
+    shuffled: of a note that comes twice the hits are folded."""
+    asked = materialize(asked)
     words = asked.select("word").distinct()
-    return asked.join(in_blocks(words, MOST_WORDS, lambda block: occurring(texts, [r["word"] for r in block.collect()], lower), "word"), "word")
+    hits = in_blocks(words, MOST_WORDS, lambda block: occurring(texts.where("path is not null"), [r["word"] for r in block.collect()], lower), "word")
+    once = hits.groupBy("path", "word").agg(F.max(F.struct("times", "line_no", "line")).alias("h")).select("path", "word", "h.*")
+    return asked.join(once, "word")
 
 
 def occurring(texts: DataFrame, words: list[str], lower: bool = True) -> DataFrame:
@@ -92,7 +93,7 @@ def occurring(texts: DataFrame, words: list[str], lower: bool = True) -> DataFra
 
 def _hits(notes: DataFrame, queries: DataFrame, words: Column) -> DataFrame:
     """``qid, path, word, said, times, line_no, line`` of the bodies."""
-    return _search(_once(notes).select("path", F.col("body").alias("text")), _asked(queries, words))
+    return _search(notes.select("path", F.col("body").alias("text")), _asked(queries, words))
 
 
 def raw_text(fields: Column, body: Column) -> Column:
@@ -102,7 +103,7 @@ def raw_text(fields: Column, body: Column) -> Column:
 
 def lexical_bonus(notes: DataFrame, queries: DataFrame, step: float = 0.04) -> DataFrame:
     """``qid, path, bonus``: the step for each of up to two identifiers of the query that the note holds verbatim, header and body."""
-    raw = notes.where("path is not null").groupBy("path").agg(F.max(raw_text(F.col("fields"), F.col("body"))).alias("text"))
+    raw = notes.select("path", raw_text(F.col("fields"), F.col("body")).alias("text"))
     hits = _search(raw, _asked(queries, identifiers(F.col("query"))), lower=False).groupBy("qid", "path").agg(F.count("*").alias("n"))
     return hits.where(F.lit(step) > 0).select("qid", "path", (F.least("n", F.lit(2)) * step).alias("bonus"))
 
