@@ -16,7 +16,8 @@ of two or three bits would be left, which nearly all pairs share. That is why th
 
 Texts with equal sets of n-grams are one class and enter the join once; ``pairs`` are between classes, ``members`` names each text's
 class, and only ``near_pairs`` expands them. No n-grams are kept: texts are read twice, the second time only those of candidates.
-A block of more than ``most_in_block`` classes is cut into parts, and every two parts meet in a task of their own.
+A block of more than ``most_in_block`` classes is cut into parts, and every two parts meet in a task of their own. The blocks, far larger
+than the texts, are dealt out in up to ``ROUNDS`` rounds, and the files of a shuffle go as soon as its rows are written.
 
 Defined results: a null text counts as empty; texts of fewer than n words have no n-gram and are in no pair, but
 ``members`` has them too, in one class for each sequence of words (one for no words); repeated rows of a key count once (if
@@ -25,6 +26,7 @@ their texts disagree, the one of the smallest class id, of those with n-grams if
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, partitions_for
+from ..session import forget, materialize, partitions_for
 from .words import MIX, each, gram_sets, grams, hashed_words
 
 LEAST_SHARED, MISSED, SIGMAS = 2, 0.0002, 4.5
@@ -43,6 +45,13 @@ NO_WORDS = np.uint64(0x6E6F6E65)
 MARKS = 256
 #: A row of a block: the block, a class, its size and its slots' bits.
 ROW = np.dtype([("block", "<i8"), ("id", "<i8"), ("size", "<i4"), ("marks", "<u8", MARKS // 64)])
+#: The same in a cell of a large block, which stands in place of the block: and on which side of the cell it is, -1 if the cell has no sides.
+CELL = np.dtype([*ROW.descr, ("side", "i1")])
+#: The blocks are dealt out in so many rounds at most, in fewer if a round holds no more rows than this.
+ROUNDS, DEALT = 8, 8_000_000
+#: What a task holds at once, in rows of blocks; what is made of them at once.
+HELD, MADE = 1_500_000, 1 << 18
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class NearDuplicates(NamedTuple):
@@ -156,41 +165,82 @@ def _verify(threshold: float):
     return run
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``materialize``, and what was shuffled for it goes at once, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 def _class_id(rows: DataFrame) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("class_1", "class_2")).drop("class_1", "class_2")
 
 
-def _rows(batch: pa.RecordBatch, count: int) -> np.ndarray:
-    """The rows of the blocks of classes."""
+def _rows(batch: pa.RecordBatch, blocks: range) -> np.ndarray:
+    """The rows of some blocks of classes."""
     raw = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-    out = np.empty((batch.num_rows, count), ROW)
-    out["block"] = (np.arange(count, dtype=np.int64) << 32) + np.ascontiguousarray(raw[:, MARKS // 8 :]).view(np.uint32)
+    out = np.empty((batch.num_rows, len(blocks)), ROW)
+    out["block"] = (np.array(blocks, np.int64) << 32) + np.ascontiguousarray(raw[:, MARKS // 8 + 4 * blocks.start : MARKS // 8 + 4 * blocks.stop]).view(np.uint32)
     out["id"], out["size"] = batch.column("class_id").to_numpy()[:, None], batch.column("size").to_numpy()[:, None]
     out["marks"] = np.ascontiguousarray(raw[:, : MARKS // 8]).view(np.uint64)[:, None, :]
     return out.ravel()
 
 
-def _deal(count: int, parts: int):
-    """The rows of the blocks, packed by the part of all blocks that they belong to."""
+PACKED = "part int, rows binary"
+
+
+def _packed(rows: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The rows, packed by the part of all blocks that they belong to."""
+    with np.errstate(over="ignore"):
+        part = ((rows["block"].view(np.uint64) * MIX) >> np.uint64(33)).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    edge = np.flatnonzero(np.diff(part[order], prepend=-1))
+    raw = [rows[order[a:b]].tobytes() for a, b in zip(edge, [*edge[1:], len(order)])]
+    return pa.RecordBatch.from_arrays([pa.array(part[order[edge]].astype(np.int32)), pa.array(raw, pa.binary())], names=["part", "rows"])
+
+
+def _deal(blocks: range, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, MADE // len(blocks))
         for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                rows = _rows(whole.slice(at, 4096), count)
-                part = ((rows["block"].view(np.uint64) * MIX) >> np.uint64(33)).astype(np.int64) % parts
-                order = np.argsort(part, kind="stable")
-                edge = np.flatnonzero(np.diff(part[order], prepend=-1))
-                raw = [rows[order[a:b]].tobytes() for a, b in zip(edge, [*edge[1:], len(order)])]
-                yield pa.RecordBatch.from_arrays([pa.array(part[order[edge]].astype(np.int32)), pa.array(raw, pa.binary())], names=["part", "rows"])
+            for at in range(0, whole.num_rows, step):
+                yield _packed(_rows(whole.slice(at, step), blocks), parts)
 
     return run
 
 
-def _explode(count: int):
+def _split(count: int, large: np.ndarray, cells: np.ndarray, parts: int):
+    """The rows of the ``large`` blocks, which are sorted, in all cells of their part of the block, one for each part it meets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, MADE // count)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                rows = _rows(whole.slice(at, 1024), count)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["block"].copy()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["block", "row"])
+            for at in range(0, whole.num_rows, step):
+                rows = _rows(whole.slice(at, step), range(count))
+                to = np.minimum(np.searchsorted(large, rows["block"]), len(large) - 1)
+                mine = large[to] == rows["block"]
+                rows, many = rows[mine], cells[to[mine]]
+                if not len(rows):
+                    continue
+                mix = lambda x: ((x ^ (x >> np.uint64(29))) * MIX) ^ ((x ^ (x >> np.uint64(29))) * MIX >> np.uint64(32))
+                with np.errstate(over="ignore"):
+                    own = (mix(rows["id"].view(np.uint64) ^ np.uint64(SEED)) % many.astype(np.uint64)).astype(np.int64)
+                end = np.cumsum(many)
+                for first in range(0, int(end[-1]), MADE):
+                    place = np.arange(first, min(first + MADE, int(end[-1])))
+                    i = np.searchsorted(end, place, "right")
+                    other, half = place - (end[i] - many[i]), own[i]
+                    out = np.empty(len(i), CELL)
+                    for c in ("id", "size", "marks"):
+                        out[c] = rows[c][i]
+                    with np.errstate(over="ignore"):
+                        pair = (np.minimum(half, other).astype(np.uint64) << np.uint64(32)) + np.maximum(half, other).astype(np.uint64)
+                        out["block"] = mix(mix(rows["block"][i].view(np.uint64)) + pair).view(np.int64)
+                    out["side"] = np.where(half == other, -1, half > other)
+                    yield _packed(out, parts)
 
     return run
 
@@ -245,31 +295,38 @@ def _parts(threshold: float, most: int):
 
 def _cells(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = [b for b in batches if b.num_rows]
-        if whole:
-            rows = np.concatenate([np.frombuffer(b"".join(b.column("row").to_pylist()), ROW) for b in whole])
-            cell, half, across = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in whole]) for c in ("cell", "half", "across"))
-            rows["block"] = cell
-            yield from _meet(rows[~across], threshold, len(rows))
-            yield from _meet(rows[across], threshold, len(rows), half[across])
+        raw = [np.frombuffer(x, CELL) for batch in batches for x in batch.column("rows").to_pylist()]
+        if raw:
+            rows = np.concatenate(raw)
+            across = rows["side"] >= 0
+            for part in (rows[~across], rows[across]):
+                if len(part):
+                    yield from _meet(part, threshold, len(part), part["side"] if part["side"][0] >= 0 else None)
 
     return run
 
 
-def _sharing(classes: DataFrame, threshold: float, rows: int, most: int) -> DataFrame:
-    """``class_a, class_b`` of the candidates, by blocks; ``rows`` is at least the number of classes."""
-    spark, count = classes.sparkSession, layout(threshold)[1]
-    parts = partitions_for(spark, rows * count, 1_500_000)  # what a worker holds at once
-    dealt = classes.mapInArrow(_deal(count, parts), "part int, rows binary").repartitionById(parts, "part")
-    met = materialize(dealt.mapInArrow(_parts(threshold, most), MET))
-    large = met.where("members is not null").select("block", (F.ceil(F.col("members") * 3 / most)).cast("int").alias("cells"), "members")
-    if not large.isEmpty():  # every two parts of such a block meet in a cell of their own
-        apart = F.pmod(F.xxhash64("row", F.lit(SEED)), F.col("cells")).cast("int")
-        split = classes.mapInArrow(_explode(count), "block bigint, row binary").join(large, "block").withColumn("half", apart).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        split = split.select(F.xxhash64("block", F.least("half", "other"), F.greatest("half", "other")).alias("cell"), "half", (F.col("half") != F.col("other")).alias("across"), "row")
-        parts = partitions_for(spark, large.agg(F.sum(F.col("members") * F.col("cells"))).first()[0], 1_500_000)
-        met = met.where("members is null").unionByName(split.repartition(parts, "cell").mapInArrow(_cells(threshold), MET))
-    return met.groupBy("class_a", "class_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED).select("class_a", "class_b")
+def _sharing(classes: DataFrame, threshold: float, most: int) -> DataFrame:
+    """``class_a, class_b`` of the candidates, by blocks."""
+    spark, count, rows = classes.sparkSession, layout(threshold)[1], max(1, classes.count())
+    each_round, met = max(-(-count // ROUNDS), DEALT // rows), []
+    for first in range(0, count, each_round):
+        blocks = range(first, min(first + each_round, count))
+        parts = partitions_for(spark, rows * len(blocks), HELD)
+        met.append(_kept(classes.mapInArrow(_deal(blocks, parts), PACKED).repartitionById(parts, "part").mapInArrow(_parts(threshold, most), MET)))
+    whole = functools.reduce(DataFrame.unionByName, met)
+    large = whole.where("members is not null").select("block", "members").toArrow()  # no more than rows * count / most
+    if large.num_rows:  # every two parts of such a block meet in a cell of their own
+        order = np.argsort(large["block"].to_numpy())
+        members = large["members"].to_numpy()[order]
+        cells = -(-members // (4 * most))
+        parts = partitions_for(spark, int((members * cells).sum()), HELD)
+        met.append(_kept(classes.mapInArrow(_split(count, large["block"].to_numpy()[order], cells, parts), PACKED).repartitionById(parts, "part").mapInArrow(_cells(threshold), MET)))
+        whole = whole.where("members is null").unionByName(met[-1])
+    close = _kept(whole.groupBy("class_a", "class_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= LEAST_SHARED).select("class_a", "class_b"))
+    for x in met:
+        forget(x)
+    return close
 
 
 def _meeting(sets: DataFrame, threshold: float) -> DataFrame:
@@ -281,7 +338,7 @@ def _meeting(sets: DataFrame, threshold: float) -> DataFrame:
                 size = np.array([len(r) for r in x], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("class_id").slice(at, 256).to_numpy(), size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(x).view(np.int64))], names=["class_id", "size", "gram"])
 
-    one = materialize(sets.mapInArrow(spread, "class_id bigint, size bigint, gram bigint"))
+    one = _kept(sets.mapInArrow(spread, "class_id bigint, size bigint, gram bigint"))
     often = one.groupBy("gram").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("class_id").orderBy("n", "gram"))
     first = one.join(often, "gram").withColumn("place", place).where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1) & (F.col("n") > 1))
@@ -296,20 +353,21 @@ def near_duplicates(texts: DataFrame, threshold: float = 0.8, n: int = 5, exact:
         raise ValueError("threshold must be above 0 and at most 1")
     rows = texts.select("key", F.coalesce("text", F.lit("")).alias("text")).where("key is not null")
     key_type = rows.schema["key"].dataType.simpleString()
-    prints = materialize(_class_id(rows.mapInArrow(_fingerprints(n, threshold), f"key {key_type}, class_1 bigint, class_2 bigint, size int, print binary")).withColumnRenamed("id", "class_id"))
+    prints = _kept(_class_id(rows.mapInArrow(_fingerprints(n, threshold), f"key {key_type}, class_1 bigint, class_2 bigint, size int, print binary")).withColumnRenamed("id", "class_id"))
     members = prints.groupBy("key").agg(F.min(F.struct((F.col("size") == 0).alias("short"), "class_id"))["class_id"].alias("class_id"))  # the texts themselves are never shuffled
     full = prints.where("size > 0")
     if exact:
         need = full.groupBy("class_id").agg(F.min("key").alias("key"))
     else:
         # copies fold before the shuffle: all rows of a class are alike
-        classes = full.groupBy("class_id").agg(F.first("size").alias("size"), F.first("print").alias("print"))
-        close = materialize(_sharing(classes, threshold, prints.count(), most_in_block))
+        classes = _kept(full.groupBy("class_id").agg(F.first("size").alias("size"), F.first("print").alias("print")))
+        close = _sharing(classes, threshold, most_in_block)
+        forget(classes)
         need = close.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
         need = full.select("class_id", "key").join(need, "class_id", "left_semi").groupBy("class_id").agg(F.min("key").alias("key"))
-    sets = _class_id(rows.join(materialize(need), "key").mapInArrow(_sets(n), "class_id bigint, class_1 bigint, class_2 bigint, bits binary")).where("id = class_id").groupBy("class_id").agg(F.max("bits").alias("bits"))
+    sets = _class_id(rows.join(_kept(need), "key").mapInArrow(_sets(n), "class_id bigint, class_1 bigint, class_2 bigint, bits binary")).where("id = class_id").groupBy("class_id").agg(F.max("bits").alias("bits"))
+    sets = _kept(sets)
     if exact:
-        sets = materialize(sets)
         close = _meeting(sets, threshold)
     bits = lambda s: sets.select(F.col("class_id").alias(f"class_{s}"), F.col("bits").alias(f"bits_{s}"))
     pairs = close.join(bits("a"), "class_a").join(bits("b"), "class_b").mapInArrow(_verify(threshold), "class_a bigint, class_b bigint, common bigint, size_a bigint, size_b bigint")

@@ -306,6 +306,26 @@ def test_short_texts_have_classes_of_their_own(spark, monkeypatch):
     assert rows(neardup.near_pairs(found)) == [(7, 8)]  # short texts are in no pair
 
 
+@pytest.mark.parametrize("most", [4096, 2])
+def test_near_duplicates_leave_no_shuffle_files(spark, monkeypatch, most):
+    """The rows of all blocks, many times the texts, are neither dealt out at once nor left on disk; large blocks too."""
+    rng = np.random.default_rng(6)
+    data = [(i, " ".join([f"g{i % 30}w{j}" for j in range(60)] + [f"z{x}" for x in rng.integers(0, 50, i // 30)])) for i in range(600)]
+    df = spark.createDataFrame(data, "key bigint, text string").repartition(2)
+    monkeypatch.setattr(neardup, "DEALT", 6000, raising=False)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {found.apply(i).getPath(): found.apply(i).length() for i in range(found.size()) if "shuffle_" in found.apply(i).getName()}
+
+    before = files()
+    found = neardup.near_duplicates(df, 0.5, 3, most_in_block=most)
+    left = sum(size for path, size in files().items() if path not in before)
+    assert left < 60 * len(data)  # bytes; all blocks took 2000 and more a text
+    assert set(rows(neardup.near_pairs(found))) == jaccard_pairs(dict(data), 0.5, 3)
+
+
 
 # 7: leaks
 
