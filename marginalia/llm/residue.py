@@ -2,15 +2,15 @@
 
 Rules (``residue_rules``) name what they are sure of: texts that hold nothing but
 residue and frame are trusted residue, texts with several sentences that refer to something of their own (notes, tickets, names
-in code) are trusted content, which nothing further in them could change. What is left is unknown, texts with code or with any number of other sentences too. Trusted residue and unknown texts
+in code) are trusted content, which nothing further in them could change. What is left is unknown, texts with code or with any number of other sentences too. All texts, trusted content too,
 get a SimHash of their five-word shingles, all of them, in a normal form in which fills of one template agree; equal normal forms are one class. The hash is cut into blocks, one table for
 each: a labelled class looks up its own value of every block and all values one bit away. Length, number of blocks and Hamming
 radius come from the Jaccard similarity asked for (``layout``): a pair exactly at it is a candidate with probability 0.9995
 (at 0.8: 41 blocks of 20 bits, radius 176 of 820), a closer one with more. Every vote of a shingle is a byte and not
 a bit, so that small sets follow the same law. Candidates are verified by Hamming distance and then by the Jaccard
 similarity of their shingles. From the trusted classes the label then spreads through the connected components of these
-links: a class that is linked to a labelled one is labelled, until no more are. Links between two labelled classes are never
-made, and trusted content can't be reached, so it isn't linked at all.
+links: a class that is linked to a labelled one is labelled, until no more are, unless it is as similar to trusted content (an unknown text
+with the normal form of trusted content is). Links between two labelled classes are never made; trusted content is never reported and passes no label on.
 
 Defined results: a null text or id takes no part; an empty text, or one with nothing but frame, is unknown and so
 not reported unless linked; repeated rows count once; empty tables give no rows; other columns are ignored.
@@ -88,22 +88,33 @@ def _read(message: re.Pattern):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, normals = zip(*(kind(x, message) for x in batch.column("text").to_pylist())) if batch.num_rows else ((), ())
-            rest = np.flatnonzero([k != "content" for k in kinds])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rest)), pa.array([kinds[i] for i in rest], pa.string()), pa.array([normals[i] for i in rest], pa.string())], names=["doc_id", "kind", "normal"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kinds, pa.string()), pa.array(normals, pa.string())], names=["doc_id", "kind", "normal"])
 
     return run
 
 
+def _shingles_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return shingle_sets([x.replace("¤", " slot ") for x in batch.column("normal").to_pylist()])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets, edge = _shingles_of(batch)
+        yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array([sets[a:b].tobytes() for a, b in each(edge)], pa.binary())], names=["class_id", "shingles_b"])
+
+
 def _hash(bits: int):
+    """Of trusted content, whose label is null, no shingles: they are made again where a link asks for them (``_shingles``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, edge = shingle_sets([x.replace("¤", " slot ") for x in batch.column("normal").to_pylist()])
+            sets, edge = _shingles_of(batch)
             keep = np.flatnonzero(np.diff(edge))
             edge = edge[np.append(keep, len(edge) - 1)]  # no words, no hash
             at = pa.array(keep)
             marks = pa.array([x.tobytes() for x in np.packbits(simhashes(sets, edge, bits), axis=1)], pa.binary())
-            sizes = pa.array(np.diff(edge).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("class_id").take(at), batch.column("labelled").take(at), sizes, marks, pa.array([sets[a:b].tobytes() for a, b in each(edge)], pa.binary())], names=["class_id", "labelled", "size", "mark", "shingles"])
+            sizes, labelled = pa.array(np.diff(edge).astype(np.int32)), batch.column("labelled").take(at)
+            shingles = pa.array([sets[a:b].tobytes() if known else None for (a, b), known in zip(each(edge), labelled.is_valid().to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("class_id").take(at), labelled, sizes, marks, shingles], names=["class_id", "labelled", "size", "mark", "shingles"])
 
     return run
 
@@ -143,18 +154,20 @@ def _within(radius: int):
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist()):
+            share = np.zeros(batch.num_rows)
+            for i, (a, b) in enumerate(zip(batch.column("shingles_a").to_pylist(), batch.column("shingles_b").to_pylist())):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(common >= least * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("class_id").filter(pa.array(ok, pa.bool_()))], names=["class_id"])
+                share[i] = common / (len(x) + len(y) - common)
+            ok = pa.array(share >= least - 1e-12)
+            yield pa.RecordBatch.from_arrays([batch.column("class_id").filter(ok), batch.column("class_a").filter(ok), pa.array(share).filter(ok)], names=["class_id", "class_a", "share"])
 
     return run
 
 
-def _linked(unknown: DataFrame, frontier: DataFrame, similarity: float) -> DataFrame:
-    """``class_id``: the classes of ``unknown`` that are similar to one of ``frontier``."""
+def _links(unknown: DataFrame, frontier: DataFrame, similarity: float, normals: DataFrame | None = None) -> DataFrame:
+    """``class_id, class_a, share``: the classes of ``unknown`` that are similar to one of ``frontier``, to which, and their Jaccard similarity.
+    With ``normals(class_id, normal)`` the shingles of ``unknown`` are made from these."""
     count, radius = layout(similarity)
     a = frontier.select("class_id", "size", "mark").mapInArrow(_tables(count, True), "block bigint, class_a bigint, size_a int")
     b = unknown.select("class_id", "size", "mark").mapInArrow(_tables(count, False), "block bigint, class_id bigint, size int")
@@ -162,8 +175,29 @@ def _linked(unknown: DataFrame, frontier: DataFrame, similarity: float) -> DataF
     near = b.join(a, "block").where(sizes).select("class_id", "class_a").distinct()
     of = lambda c, side: (unknown.select("class_id", F.col(c).alias(f"{c}_b")) if side == "b" else frontier.select(F.col("class_id").alias("class_a"), F.col(c).alias(f"{c}_a")))
     near = near.join(of("mark", "b"), "class_id").join(of("mark", "a"), "class_a").select("class_id", "class_a", "mark_a", "mark_b").mapInArrow(_within(radius), "class_id bigint, class_a bigint")
-    sides = near.join(of("shingles", "b"), "class_id").join(of("shingles", "a"), "class_a")
-    return sides.select("class_id", "shingles_a", "shingles_b").mapInArrow(_similar(similarity), "class_id bigint").distinct()
+    if normals is None:
+        shingles = of("shingles", "b")
+    else:
+        near = materialize(near)
+        asked = normals.join(near.select("class_id").distinct(), "class_id", "left_semi").groupBy("class_id").agg(F.min("normal").alias("normal"))
+        shingles = asked.mapInArrow(_shingles, "class_id bigint, shingles_b binary")
+    sides = near.join(shingles, "class_id").join(of("shingles", "a"), "class_a")
+    return sides.select("class_id", "class_a", "shingles_a", "shingles_b").mapInArrow(_similar(similarity), "class_id bigint, class_a bigint, share double")
+
+
+def _linked(unknown: DataFrame, frontier: DataFrame, similarity: float) -> DataFrame:
+    """``class_id``: the classes of ``unknown`` that are similar to one of ``frontier``."""
+    return _links(unknown, frontier, similarity).select("class_id").distinct()
+
+
+def _reached(unknown: DataFrame, frontier: DataFrame, own: DataFrame, normals: DataFrame, similarity: float) -> DataFrame:
+    """The classes of ``unknown`` that are more similar to one of ``frontier`` than to any of ``own``, whose texts ``normals`` has."""
+    near = materialize(_links(unknown, frontier, similarity).groupBy("class_id").agg(F.max("share").alias("share")))
+    if near.isEmpty():
+        return unknown.limit(0)
+    asked = materialize(unknown.join(near.select("class_id"), "class_id", "left_semi"))
+    content = _links(own, asked, similarity, normals).groupBy(F.col("class_a").alias("class_id")).agg(F.max("share").alias("content"))
+    return asked.join(near.join(content, "class_id", "left").where("content is null or share > content").select("class_id"), "class_id", "left_semi")
 
 
 def residue(documents: DataFrame, similarity: float = 0.8, message: re.Pattern = MESSAGE) -> DataFrame:
@@ -171,13 +205,15 @@ def residue(documents: DataFrame, similarity: float = 0.8, message: re.Pattern =
     sentences; what a shorter list misses is left to the links."""
     rows = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     read = materialize(rows.mapInArrow(_read(message), "doc_id bigint, kind string, normal string").withColumn("class_id", F.xxhash64("normal")))
-    classes = read.groupBy("class_id").agg(F.min("normal").alias("normal"), F.max(F.col("kind") == "residue").alias("labelled"))
+    # trusted content is neither labelled nor not: null
+    label = F.when(F.max(F.col("kind") == "residue"), True).when(~F.max(F.col("kind") == "content"), False)
+    classes = read.groupBy("class_id").agg(F.min("normal").alias("normal"), label.alias("labelled"))
     hashed = materialize(classes.mapInArrow(_hash(layout(similarity)[0] * WIDTH), "class_id bigint, labelled boolean, size int, mark binary, shingles binary"))
     labelled = read.where("kind = 'residue'").select("class_id").distinct()  # unknown texts may have the normal form of a residue
-    frontier, unknown = hashed.where("labelled").drop("labelled"), hashed.where("not labelled").drop("labelled")
+    frontier, unknown, own = (hashed.where(x).drop("labelled") for x in ("labelled", "not labelled", "labelled is null"))
     spent = None
     while True:  # each round takes classes from the unknown ones, or is the last
-        new = materialize(unknown.join(_linked(unknown, frontier, similarity), "class_id", "left_semi"))
+        new = materialize(_reached(unknown, frontier, own, read.where("kind = 'content'").select("class_id", "normal"), similarity))
         if new.isEmpty():
             break
         labelled = labelled.unionByName(new.select("class_id"))
@@ -186,5 +222,5 @@ def residue(documents: DataFrame, similarity: float = 0.8, message: re.Pattern =
         if spent is not None:
             forget(spent)  # nothing reads it any more
         spent = unknown
-    in_component = read.join(labelled, "class_id", "left_semi")
+    in_component = read.where("kind <> 'content'").join(labelled, "class_id", "left_semi")
     return in_component.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "residue", "rule").otherwise("link")).alias("reason"))

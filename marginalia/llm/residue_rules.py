@@ -165,13 +165,11 @@ def invented(line: str, words: list[str]) -> bool:
 def kind(text: str, message: re.Pattern = MESSAGE) -> tuple[str, str]:
     """``residue`` (nothing but residue and frame), ``content`` (at least ``OWN_SENTENCES`` different sentences of
     ``OWN_WORDS`` words or more, each with a reference of its own, none a message), or ``unknown`` (all else, fenced code too); and
-    the text in a normal form in which fills of one template agree (of content none is needed). ``message`` matches whole sentences that
-    are messages."""
+    the whole text in a normal form in which fills of one template agree. ``message`` matches whole sentences that are messages."""
     lines, code = units(text)
-    if _own(lines, message):
-        return "content", ""
+    own = _own(lines, message)
     residue = unfilled = 0
-    content = code  # code is no residue by rule
+    content = code or own  # code is no residue by rule
     normal = []
     for line in lines:
         slots = line.count(MARK)
@@ -207,4 +205,4 @@ def kind(text: str, message: re.Pattern = MESSAGE) -> tuple[str, str]:
                 unfilled += s.endswith(":") or s.startswith("#")
             else:
                 content = True
-    return ("residue" if (residue or unfilled > 2) and not content else "unknown"), "\n".join(normal)
+    return ("content" if own else "residue" if (residue or unfilled > 2) and not content else "unknown"), "\n".join(normal)

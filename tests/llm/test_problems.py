@@ -492,6 +492,19 @@ def test_unknown_wording_is_reached_from_labelled_texts(spark):
     assert rows(residue.residue(d)) == [(1, "rule"), (2, "link"), (3, "link")]
 
 
+def test_trusted_content_is_read_whole_and_linked(spark):
+    form = "\n".join(f"{{{{a}}}} q{i} r{i}" for i in range(60))
+    own = form + "".join(f"\nWe met the clerk at noon for KTL-{i}00 and waited." for i in range(3))
+    long = own + "\nThe clerk had left again."
+    fill = own.replace("00 ", " ")  # no references, but the normal form of one that has them
+    near = own.replace("KTL-200 and waited", "a while, then went home")  # two references, nearer to that text than to the form
+    page = form + "\nThe clerk is out to lunch. Nobody can answer you now."
+    assert [kind(x)[0] for x in (form, own, long, fill, near, page)] == ["residue", "content", "content", "unknown", "unknown", "unknown"]
+    assert kind(long)[1].endswith("\nthe clerk had left again.") and kind(own)[1] == kind(fill)[1] != ""
+    d = spark.createDataFrame([*enumerate((form, own, long, fill, near, page))], "doc_id bigint, text string")
+    assert rows(residue.residue(d)) == [(0, "rule"), (5, "link")]
+
+
 @pytest.mark.parametrize("text, expected", [
     ("Volanta merisum candolor quetis pravium estola.", "residue"), ("Gralor tumenti vasquis oleum parinda corvita, feltrum.", "residue"),  # in no list of words
     ("Depot importers retry late orders twice daily.", "unknown"), ("La tabla nueva guarda pocas filas repetidas.", "unknown"), ("Camperum dolentor.", "unknown"),
