@@ -327,6 +327,15 @@ def test_near_notes_hold_a_bounded_number_of_rows(spark):
         assert {(a, b): round(s, 6) for a, b, s in rows(duplicates.near_notes(v, **bound))} == best
 
 
+def test_near_notes_at_a_low_threshold_plan_no_whole_groups(spark):
+    x = np.random.default_rng(3).standard_normal((60, 64)) + 2
+    v = spark.createDataFrame([(f"n{i:02}", 0, None, r.tolist()) for i, r in enumerate(x)], "path string, ordinal int, question_no int, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = duplicates.near_notes(v, threshold=0.8, rows_per_pivot=1)
+    assert "FlatMapGroups" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert [r[:2] for r in rows(pairs)] == [(f"n{i:02}", f"n{j:02}") for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] >= 0.8]
+
+
 def test_secrets(spark):
     t = spark.createDataFrame([("a", "x\nglpat-" + "A1b2C3d4E5f6G7h8I9j0"), ("b", "password: hunter2hunter2"), ("c", "the password is changed weekly"), ("d", None), ("e", "AKIA" + "ABCDEFGH12345678")], "path string, text string")
     assert rows(secrets.scan(t)) == [("a", 2, "gitlab token"), ("b", 1, "assigned secret"), ("e", 1, "aws access key")]
