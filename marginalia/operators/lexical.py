@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from ..session import materialize
 # File extensions that make a word an identifier.
 EXTENSIONS = ("md", "sh", "rs", "php", "dart", "json", "yml", "yaml", "toml", "sql", "py", "ts", "js")
 MOST_WORDS = 1_000_000
+MOST_QUERIES = 65_536
 
 
 def identifiers(query: Column) -> Column:
@@ -53,6 +54,32 @@ def _search(texts: DataFrame, asked: DataFrame, lower: bool = True) -> DataFrame
     return asked.join(once, "word")
 
 
+def _automaton(words: list[str]):
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        machine.add_word(w, (i, len(w)))
+    machine.make_automaton()
+    return machine
+
+
+def _found(machine, text: str, lower: bool = True) -> list[tuple[int, int, int, str]]:
+    """Of each word in the text its number, how often without overlap, and the number and text of the first line with it."""
+    read = text.lower() if lower else text
+    found: dict[int, list[int]] = {}
+    for end, (i, size) in machine.iter(read):
+        at = found.setdefault(i, [0, -1, end - size + 1])  # times, end of the last counted, first start
+        if end - size + 1 > at[1]:
+            at[0], at[1] = at[0] + 1, end
+    if not found:
+        return []
+    lines = text.split("\n")
+    starts = np.cumsum([0] + [len(x) + 1 for x in read.split("\n")])
+    no = np.searchsorted(starts, [x[2] for x in found.values()], side="right").tolist()
+    return [(i, x[0], n, lines[n - 1].rstrip("\r")) for (i, x), n in zip(found.items(), no)]
+
+
 def occurring(texts: DataFrame, words: list[str], lower: bool = True) -> DataFrame:
     """``path, word, times, line_no, line``: every given word that a text of ``texts(path, text)`` holds, how often without
     overlap, and the first line with it. Each text is read once for all words together, by an automaton."""
@@ -61,29 +88,14 @@ def occurring(texts: DataFrame, words: list[str], lower: bool = True) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not shared.value:
             return
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for i, w in enumerate(shared.value):
-            machine.add_word(w, (i, len(w)))
-        machine.make_automaton()
+        machine = _automaton(shared.value)
         for batch in batches:
             out = []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 if not text:
                     continue
-                read = text.lower() if lower else text
-                found: dict[int, list[int]] = {}
-                for end, (i, size) in machine.iter(read):
-                    at = found.setdefault(i, [0, -1, end - size + 1])  # times, end of the last counted, first start
-                    if end - size + 1 > at[1]:
-                        at[0], at[1] = at[0] + 1, end
-                if found:
-                    lines = text.split("\n")
-                    starts = np.cumsum([0] + [len(x) + 1 for x in read.split("\n")])
-                    for i, (times, _, first) in found.items():
-                        no = int(np.searchsorted(starts, first, side="right"))
-                        out.append((row, shared.value[i], times, no, lines[no - 1].rstrip("\r")))
+                for i, times, no, line in _found(machine, text, lower):
+                    out.append((row, shared.value[i], times, no, line))
             if out:
                 row, word, times, no, line = zip(*out)
                 yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(row)), pa.array(word), pa.array(times, pa.int64()), pa.array(no, pa.int32()), pa.array(line, pa.string())], names=["path", "word", "times", "line_no", "line"])
@@ -91,6 +103,120 @@ def occurring(texts: DataFrame, words: list[str], lower: bool = True) -> DataFra
     return texts.select("path", "text").mapInArrow(run, "path string, word string, times bigint, line_no int, line string")
 
 
+def _whole(notes: DataFrame) -> DataFrame:
+    """``path, texts``: the different bodies of each path in one row. Only notes that come more than once are shuffled."""
+    texts = notes.where("path is not null").select("path", F.col("body").alias("text"))
+    twice = materialize(texts.groupBy("path").count().where("count > 1").select("path"))
+    few = F.broadcast(twice) if twice.count() <= 200_000 else twice
+    many = texts.join(few, "path", "left_semi").groupBy("path").agg(F.collect_set("text").alias("texts"))
+    return texts.join(few, "path", "left_anti").select("path", F.array("text").alias("texts")).unionByName(many)
+
+
+def _by_note(notes: DataFrame, queries: DataFrame, words: Column, ask: Callable[[DataFrame, "_Asked"], DataFrame]) -> DataFrame:
+    """``ask`` of the notes, once for each block of at most MOST_QUERIES queries. What a query finds in a note is known where the note is read, so neither
+    hits nor pairs of queries and notes are shuffled."""
+    texts = _whole(notes)
+    each = materialize(_asked(queries, words).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("word", "said"))).alias("words")))
+    return in_blocks(each, MOST_QUERIES, lambda block: ask(texts, _Asked(block)))
+
+
+class _Asked:
+    """A block of queries as it goes to the executors: queries of the same words are one class."""
+
+    def __init__(self, block: DataFrame):
+        classes: dict[tuple, list] = {}
+        for r in block.collect():
+            classes.setdefault(tuple((w["word"], w["said"]) for w in r["words"]), []).append(r["qid"])
+        self.words = sorted({w for c in classes for w, _ in c})
+        number = {w: i for i, w in enumerate(self.words)}
+        who = sorted((number[w], c, said) for c, words in enumerate(classes) for w, said in words)
+        self.classes = np.array([c for _, c, _ in who], np.int64)  # of each word, one after the other
+        self.said = np.array([n for _, _, n in who], np.int64)
+        self.first = np.searchsorted(np.array([i for i, _, _ in who], np.int64), np.arange(len(self.words) + 1))
+        self.qids = np.array([q for x in classes.values() for q in x], np.int64)
+        self.ends = np.cumsum([0, *map(len, classes.values())])
+
+    def parts(self, batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[str], list[list[str]], list[list[tuple]], np.ndarray, np.ndarray, np.ndarray]]:
+        """At most ``most`` notes at a time: the paths, the texts and the words found of those that hold any; the note of each word found, and for
+        each class that asks for it which word that is and where the class stands in ``classes``."""
+        machine = _automaton(self.words)
+        for batch in batches:
+            for start in range(0, len(batch), most):
+                part = batch.slice(start, most)
+                paths, texts, found = [], [], []
+                for path, some in zip(part.column("path").to_pylist(), part.column("texts").to_pylist()):
+                    hits = [h for t in some if t for h in _found(machine, t)]
+                    if len(some) > 1:
+                        hits = list({h[0]: h for h in sorted(hits)}.values())  # of more than one body, each word as in the one with most of it
+                    if hits:
+                        paths.append(path)
+                        texts.append(some)
+                        found.append(hits)
+                if found:
+                    note = np.repeat(np.arange(len(found)), [len(h) for h in found])
+                    word = np.array([h[0] for hits in found for h in hits])
+                    n = self.first[word + 1] - self.first[word]
+                    hit = np.repeat(np.arange(len(word)), n)
+                    at = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + self.first[word][hit]
+                    yield paths, texts, found, note, hit, at
+
+
+def _top_notes(notes: DataFrame, queries: DataFrame, words: Column, limit: int, by_times: bool) -> DataFrame:
+    """``qid, path, held, times, octets, place``: of each query the first ``limit`` notes by how many of its words they hold (repeats count), with ``by_times``
+    then by how often, then by path; the octets of the largest body. Each task keeps that many notes of each query."""
+
+    def ask(texts: DataFrame, asked: _Asked) -> DataFrame:
+        if not asked.words or limit < 1:
+            return texts.sparkSession.createDataFrame([], "qid bigint, path string, held bigint, times bigint, octets bigint, place int")
+        shared = texts.sparkSession.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = shared.value
+            n = len(q.ends) - 1
+            kept = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object), np.zeros(0, np.int64)]  # class, key, path, octets
+            least = np.zeros(n)  # what a class's last kept note has, once it keeps ``limit``
+            for paths, some, found, note, hit, at in q.parts(batches, max(1, (1 << 21) // n)):
+                times = np.array([h[1] for hits in found for h in hits])[hit] if by_times else 0
+                # what is held in the upper digits, how often in the lower ones: below 2**53 all is exact
+                key = np.bincount(note[hit] * n + q.classes[at], q.said[at] * (2.0**32 + times), len(paths) * n).reshape(-1, n)
+                if not len(kept[0]) and len(key) > limit:
+                    least = np.maximum(least, np.partition(key, -limit, axis=0)[-limit])
+                row, of = np.nonzero((key > 0) & (key >= least))
+                if not len(row):
+                    continue
+                octets = np.array([max(len(t.encode()) for t in x if t) for x in some])
+                new = [of, key[row, of], np.array(paths, object)[row], octets[row]]
+                kept = [np.concatenate(x) for x in zip(kept, new)]
+                rank = np.unique(kept[2].astype(str), return_inverse=True)[1]
+                order = np.lexsort((rank, -kept[1], kept[0]))
+                of = kept[0][order]
+                order = order[np.arange(len(of)) - np.searchsorted(of, of) < limit]
+                kept = [x[order] for x in kept]
+                full = np.bincount(kept[0], minlength=n) >= limit
+                low = np.full(n, np.inf)
+                np.minimum.at(low, kept[0], kept[1])
+                least = np.where(full, low, 0.0)
+            held = np.floor(kept[1] / 2.0**32)
+            for s in range(0, len(held), 10_000):
+                e = slice(s, s + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(kept[0][e]), pa.array(kept[2][e], pa.string()), pa.array(held[e].astype(np.int64)), pa.array((kept[1] - held * 2.0**32)[e].astype(np.int64)), pa.array(kept[3][e])], names=["class", "path", "held", "times", "octets"])
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = shared.value
+            for batch in batches:
+                for s in range(len(batch)):
+                    one = batch.slice(s, 1)
+                    c = one.column("class")[0].as_py()
+                    qids = q.qids[q.ends[c] : q.ends[c + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array(qids), *(one.column(x).take(pa.array(np.zeros(len(qids), np.int64))) for x in ("path", "held", "times", "octets", "place"))], names=["qid", "path", "held", "times", "octets", "place"])
+
+        found = texts.mapInArrow(run, "class bigint, path string, held bigint, times bigint, octets bigint")
+        place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("held"), F.desc("times"), "path"))
+        return found.withColumn("place", place).where(F.col("place") <= limit).mapInArrow(named, "qid bigint, path string, held bigint, times bigint, octets bigint, place int")
+
+    return _by_note(notes, queries, words, ask)
+
+
 def _hits(notes: DataFrame, queries: DataFrame, words: Column) -> DataFrame:
     """``qid, path, word, said, times, line_no, line`` of the bodies."""
     return _search(notes.select("path", F.col("body").alias("text")), _asked(queries, words))
@@ -116,10 +242,7 @@ def first_lines(notes: DataFrame, queries: DataFrame) -> DataFrame:
 
 def words_only(notes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """Notes by how many of the query's words they hold (repeats count), then by how often, then by path."""
-    hits = _hits(notes, queries, query_words(F.col("query")))
-    found = hits.groupBy("qid", "path").agg(F.sum("said").alias("held"), F.sum(F.col("said") * F.col("times")).alias("times"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("held"), F.desc("times"), "path"))
-    return found.withColumn("place", place).where(F.col("place") <= limit)
+    return _top_notes(notes, queries, query_words(F.col("query")), limit, True).select("qid", "path", "held", "times", "place")
 
 
 def grep_cost(notes: DataFrame, queries: DataFrame, longest: int | None = None, most_notes: int = 5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 import struct
 import subprocess
 
@@ -201,6 +202,45 @@ def test_occurring(spark):
     assert rows(lexical.occurring(t, ["aa"], lower=False)) == [("a", "aa", 2, 1, "aaa bb")] and lexical.occurring(t, []).count() == 0
 
 
+WORDS = ["älpha", "beta", "alphabet", "gam_ma", "be", "delta-x", "ta", "ETA", "omega"]
+
+
+def _some_notes_and_queries(spark):
+    """Notes and queries with repeats of words, of queries and of notes, ties, empty bodies."""
+    rng = np.random.default_rng(5)
+    text = lambda n, ends: "".join(rng.choice(WORDS) + rng.choice(ends) for _ in range(n))
+    bodies = {f"n{i:03}": text(int(rng.integers(0, 9)), [" ", "\n", "\r\n", ", "]) for i in range(150)} | {"none": None}
+    queries = {i: (text(int(rng.integers(0, 5)), [" ", ", "]) if i % 3 else "beta beta ta", f"n{i:03}") for i in range(24)}
+    notes = make(spark, *[(p, {}, b) for p, b in bodies.items()], *[(p, {}, b) for p, b in list(bodies.items())[:9]]).repartition(5)
+    return bodies, queries, notes, spark.createDataFrame([(i, *q) for i, q in queries.items()], "qid bigint, query string, expected string")
+
+
+def _ranked(bodies, words, by_times):
+    found = []
+    for path, body in bodies.items():
+        in_it = [w for w in words if w in (body or "").lower()]
+        if in_it:
+            found.append((-len(in_it), -sum(body.lower().count(w) for w in in_it) if by_times else 0, path))
+    return sorted(found)
+
+
+def _bench_words(query):
+    return [w for w in re.split(r"[^\w-]+", query.lower()) if len(w) >= 3]
+
+
+def _no_join_of_hits(df):
+    return "Join Inner" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_only_ranks_where_notes_are_read(spark, monkeypatch):
+    bodies, queries, notes, asked = _some_notes_and_queries(spark)
+    want = sorted(((i, p, -h, -t, k + 1) for i, (q, _) in queries.items() for k, (h, t, p) in enumerate(_ranked(bodies, _bench_words(q), True)[:5])), key=repr)
+    got = lexical.words_only(notes, asked)
+    assert rows(got) == want and len(want) > 60 and _no_join_of_hits(got)
+    monkeypatch.setattr(lexical, "MOST_QUERIES", 5)
+    assert rows(lexical.words_only(notes, asked)) == want and lexical.words_only(notes, asked.where("false")).count() == 0
+
+
 def test_mmr_prefers_the_unlike(spark):
     v = spark.createDataFrame([("a", 0, None, _unit64(1, 0.3)), ("b", 0, None, _unit64(1, 0.31)), ("c", 0, None, _unit64(1, -0.5))], "path string, ordinal int, question_no int, embedding array<float>")
     q = spark.createDataFrame([(1, _unit64(1))], "qid bigint, embedding array<float>")
