@@ -236,8 +236,39 @@ def lexical_bonus(notes: DataFrame, queries: DataFrame, step: float = 0.04) -> D
 
 def first_lines(notes: DataFrame, queries: DataFrame) -> DataFrame:
     """``qid, path, line_no, line``: the first body line of each note that holds any word of the query."""
-    first = _hits(notes, queries, cli_words(F.col("query"))).groupBy("qid", "path").agg(F.min(F.struct("line_no", "line")).alias("h"))
-    return first.select("qid", "path", "h.line_no", first_chars(strip(F.col("h.line")), 110).alias("line"))
+
+    def ask(texts: DataFrame, asked: _Asked) -> DataFrame:
+        shared = texts.sparkSession.sparkContext.broadcast(asked)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = shared.value
+            n = len(q.ends) - 1
+            for paths, _, found, note, hit, at in q.parts(batches if q.words else iter(()), max(1, (1 << 20) // max(len(q.qids), 1))):
+                lines, line_of = [], []  # all first lines, note by note from the top; the line of each word found
+                for row, hits in enumerate(found):
+                    own = sorted({h[2:] for h in hits})
+                    rank = {x: len(lines) + i for i, x in enumerate(own)}
+                    line_of += [rank[h[2:]] for h in hits]
+                    lines += [(row, *x) for x in own]
+                line_of = np.array(line_of)[hit]
+                down = np.argsort(-line_of, kind="stable")
+                first = np.full(len(paths) * n, -1)
+                first[(note[hit] * n + q.classes[at])[down]] = line_of[down]  # of several the last stays, the first line
+                asks = np.flatnonzero(first >= 0)
+                asks = asks[np.argsort(first[asks], kind="stable")]
+                line, c = first[asks], asks % n
+                size = q.ends[c + 1] - q.ends[c]
+                qids = q.qids[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - q.ends[c], size)]
+                starts = np.flatnonzero(np.diff(line, prepend=-1))
+                offsets = np.append((np.cumsum(size) - size)[starts], len(qids)).astype(np.int32)
+                row, no, text = zip(*[lines[i] for i in line[starts].tolist()])
+                yield pa.RecordBatch.from_arrays([pa.array([paths[r] for r in row], pa.string()), pa.array(no, pa.int32()), pa.array(text, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(qids))], names=["path", "line_no", "line", "qids"])
+
+        found = texts.mapInArrow(run, "path string, line_no int, line string, qids array<bigint>")
+        cut = found.select("path", "line_no", first_chars(strip(F.col("line")), 110).alias("line"), "qids")
+        return cut.select(F.explode("qids").alias("qid"), "path", "line_no", "line")
+
+    return _by_note(notes, queries, cli_words(F.col("query")), ask)
 
 
 def words_only(notes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:

@@ -241,6 +241,21 @@ def test_words_only_ranks_where_notes_are_read(spark, monkeypatch):
     assert rows(lexical.words_only(notes, asked)) == want and lexical.words_only(notes, asked.where("false")).count() == 0
 
 
+def test_first_lines_come_from_where_notes_are_read(spark, monkeypatch):
+    bodies, queries, notes, asked = _some_notes_and_queries(spark)
+    want = []
+    for i, (q, _) in queries.items():
+        words = [w for w in q.lower().split() if len(w.encode()) >= 3]
+        for path, body in bodies.items():
+            hit = next(((n, x) for n, x in enumerate(re.split(r"\r?\n", body or ""), 1) if any(w in x.lower() for w in words)), None)
+            if hit:
+                want.append((i, path, hit[0], hit[1].strip()[:110]))
+    got = lexical.first_lines(notes, asked)
+    assert rows(got) == sorted(want, key=repr) and len(want) > 500 and _no_join_of_hits(got)
+    monkeypatch.setattr(lexical, "MOST_QUERIES", 5)
+    assert rows(lexical.first_lines(notes, asked)) == sorted(want, key=repr) and lexical.first_lines(notes, asked.where("false")).count() == 0
+
+
 def test_mmr_prefers_the_unlike(spark):
     v = spark.createDataFrame([("a", 0, None, _unit64(1, 0.3)), ("b", 0, None, _unit64(1, 0.31)), ("c", 0, None, _unit64(1, -0.5))], "path string, ordinal int, question_no int, embedding array<float>")
     q = spark.createDataFrame([(1, _unit64(1))], "qid bigint, embedding array<float>")
