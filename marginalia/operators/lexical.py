@@ -217,11 +217,6 @@ def _top_notes(notes: DataFrame, queries: DataFrame, words: Column, limit: int,
     return _by_note(notes, queries, words, ask)
 
 
-def _hits(notes: DataFrame, queries: DataFrame, words: Column) -> DataFrame:
-    """``qid, path, word, said, times, line_no, line`` of the bodies."""
-    return _search(notes.select("path", F.col("body").alias("text")), _asked(queries, words))
-
-
 def raw_text(fields: Column, body: Column) -> Column:
     """A note as it stands in its file, but for the order of its fields."""
     return F.concat_ws("\n", F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"), body)
@@ -282,10 +277,8 @@ def grep_cost(notes: DataFrame, queries: DataFrame, longest: int | None = None,
     words = F.array_distinct(query_words(F.col("query")))
     if longest:
         words = F.slice(F.array_sort(words, lambda a, b: (F.char_length(b) - F.char_length(a))), 1, longest)
-    octets = notes.where("path is not null").groupBy("path").agg(F.max(F.octet_length("body")).alias("octets"))
-    found = _hits(notes, queries, words).groupBy("qid", "path").agg(F.count("*").alias("held")).join(queries.select("qid", "expected"), "qid").join(octets, "path")
-    order = Window.partitionBy("qid").orderBy(F.desc("held"), "path")
-    ranked = found.select("qid", "path", "expected", "octets", "held").withColumn("place", F.row_number().over(order)).where(F.col("place") <= most_notes)
+    ranked = _top_notes(notes, queries, words, most_notes, False).join(queries.select("qid", "expected"), "qid")
+    order = Window.partitionBy("qid").orderBy("place")
     before = F.max((F.col("path") == F.col("expected")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     read = ranked.withColumn("done", F.coalesce(before, F.lit(0))).where("done = 0")
     return read.groupBy("qid").agg(F.count("*").alias("notes_read"), F.sum(F.ceil(F.col("octets") / 4)).alias("tokens"), F.max(F.coalesce(F.col("path") == F.col("expected"), F.lit(False))).alias("reached"))

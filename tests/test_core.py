@@ -256,6 +256,20 @@ def test_first_lines_come_from_where_notes_are_read(spark, monkeypatch):
     assert rows(lexical.first_lines(notes, asked)) == sorted(want, key=repr) and lexical.first_lines(notes, asked.where("false")).count() == 0
 
 
+def test_grep_cost_keeps_few_notes_of_each_query(spark):
+    bodies, queries, notes, asked = _some_notes_and_queries(spark)
+    want = []
+    for i, (q, expected) in queries.items():
+        read = [p for _, _, p in _ranked(bodies, sorted(set(_bench_words(q))), False)[:5]]
+        read = read[: read.index(expected) + 1] if expected in read else read
+        if read:
+            want.append((i, len(read), sum(-(-len(bodies[p].encode()) // 4) for p in read), expected in read))
+    asked = asked.repartition(3)
+    got = lexical.grep_cost(notes, asked)
+    assert [(a, b, int(c), d) for a, b, c, d in rows(got)] == sorted(want, key=repr) and len(want) > 12
+    assert "octet_length" not in got._jdf.queryExecution().optimizedPlan().toString()  # hits aren't joined with the sizes of all notes
+
+
 def test_mmr_prefers_the_unlike(spark):
     v = spark.createDataFrame([("a", 0, None, _unit64(1, 0.3)), ("b", 0, None, _unit64(1, 0.31)), ("c", 0, None, _unit64(1, -0.5))], "path string, ordinal int, question_no int, embedding array<float>")
     q = spark.createDataFrame([(1, _unit64(1))], "qid bigint, embedding array<float>")
